@@ -18,10 +18,16 @@ from os.path import commonprefix
 
 import regex
 
+from codeloom.llm.common import uncollected
+
 #: The white space of the vocabulary's normalizer, and its pre-tokenizer's pattern.
 WHITE = "\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 END = "</w>"
+#: Words that are looked up together.
+GROUP = 60_000
+#: Words whose encodings a worker keeps from batch to batch (some 250 bytes each); with decoded texts, half of it.
+KNOWN = 800_000
 
 
 def byte_letters() -> list[str]:
@@ -40,7 +46,7 @@ class Trie:
     limit bounds the words kept between batches; results do not depend on it.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -58,7 +64,7 @@ class Trie:
         self.find = regex.compile(PATTERN).findall
         self.odd = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.blank = regex.compile(f"[{WHITE}]+")
-        self.limit, self.known, self.shown = limit, {}, {}
+        self.limit, self.known, self.shown = limit or KNOWN, {}, {}
         self.after: dict[str, dict[str, bool]] = {}  # by the last token: which tokens may follow
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -167,13 +173,19 @@ class Trie:
 
     def encode_batch(self, texts: list[str], show: bool = False) -> list[tuple[bytes, bytes]]:
         """For each text: its ids as little-endian unsigned 32-bit integers, and (if show) the decoded text in UTF-8."""
+        with uncollected():
+            return self._encode(texts, show)
+
+    def _encode(self, texts: list[str], show: bool) -> list[tuple[bytes, bytes]]:
         out, group, size = [], [], 0
         for i, t in enumerate(texts):
             group.append(self.chunks(t))
             size += len(group[-1])
-            if size > 60_000 or i == len(texts) - 1:
-                self.learn(set().union(*group), show)
-                known, shown = self.known.__getitem__, self.shown.__getitem__
+            if size > GROUP or i == len(texts) - 1:
+                every = set().union(*group)
+                self.learn(every, show)
+                known = {c: self.known[c] for c in every}.__getitem__  # small enough for the processor's cache
+                shown = {c: self.shown[c] for c in every}.__getitem__ if show else None
                 out += [(b"".join(map(known, g)), b" ".join(filter(None, map(shown, g))) if show else b"") for g in group]
                 group, size = [], 0
         return out
@@ -182,7 +194,7 @@ class Trie:
 @cache
 def trie(path: str, show: bool = False) -> Trie:
     """One encoder for each Python worker, vocabulary and kind of result."""
-    return Trie(path)
+    return Trie(path, KNOWN // 2 if show else KNOWN)
 
 
 def vocabulary(path: str | None = None) -> str:

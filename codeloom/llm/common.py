@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,18 @@ def hold(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+@contextmanager
+def uncollected():
+    """No search for reference cycles meanwhile: with a million live strings it costs more than the work, and there are no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def mapped(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with a function that turns a batch into columns (a dict of lists or arrays); schema is a DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import mapped, read, texts, words_of
+from codeloom.llm.common import mapped, read, texts, uncollected, words_of
 
 SPAN, DECAY, POWER, LEAST = 5, 0.8, 4, 0.45
 #: Bounds: labelled rows of each class to learn from, landmarks, words of one sentence at most, distinct words of the sample that may become landmarks.
@@ -180,7 +180,9 @@ class Model:
         return out
 
     def scores(self, batch: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.decisions(batch) + self.shift, -30, 30)))
+        with uncollected():
+            found = self.decisions(batch)
+        return 1 / (1 + np.exp(-np.clip(self.slope * found + self.shift, -30, 30)))
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 300, c: float = 3e-3) -> tuple[np.ndarray, float]:
