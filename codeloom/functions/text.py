@@ -63,9 +63,14 @@ def exported(name: Column) -> Column:
     return F.coalesce(name.rlike(r"^\p{Lu}"), F.lit(False))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(" \t\r\n\x0b\x0c"))
+
+
 def meaningful(text: Column) -> Column:
     """Trimmed lines that are neither empty nor line comments."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~F.startswith(x, F.lit("//")))
+    return F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: (x != "") & ~F.startswith(x, F.lit("//")))
 
 
 def use_kind(kind: Column) -> Column:

@@ -35,11 +35,11 @@ def is_entrypoint() -> Column:
 
 def _body(content: Column) -> Column:
     """Trimmed text between the first { and the last }; empty without them."""
-    return F.when(content.rlike(r"(?s)\{.*\}"), F.trim(F.regexp_extract(content, r"(?s)^[^{]*\{(.*)\}", 1))).otherwise("")
+    return F.when(content.rlike(r"(?s)\{.*\}"), T.trimmed(F.regexp_extract(content, r"(?s)^[^{]*\{(.*)\}", 1))).otherwise("")
 
 
 def _statements(body: Column) -> Column:
-    return F.filter(F.transform(F.flatten(F.transform(T.meaningful(body), lambda x: F.split(x, ";"))), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.flatten(F.transform(T.meaningful(body), lambda x: F.split(x, ";"))), T.trimmed), lambda x: x != "")
 
 
 def is_generated(content: Column, lines: int = 0) -> Column:
@@ -68,14 +68,14 @@ def is_large_dto(kind: Column, symbol: Column, content: Column) -> Column:
 
 def fold_reason() -> Column:
     """The first rule that fits a chunk (columns symbol_name, chunk_type, content, signature, file_path), or an empty string."""
-    content, symbol, kind = F.trim(F.coalesce("content", F.lit(""))), F.coalesce("symbol_name", F.lit("")), F.col("chunk_type")
+    content, symbol, kind = T.trimmed(F.coalesce("content", F.lit(""))), F.coalesce("symbol_name", F.lit("")), F.col("chunk_type")
     body = _body(content)
     lines = _statements(body)
     one, stmt = F.size(lines) == 1, F.element_at(lines, 1)
-    returned = F.when(F.startswith(stmt, F.lit("return ")), F.trim(F.substring(stmt, 8, 1 << 30)))
+    returned = F.when(F.startswith(stmt, F.lit("return ")), T.trimmed(F.substring(stmt, 8, 1 << 30)))
     field = lambda e: F.contains(e, F.lit(".")) & ~e.rlike(r"[(\[]")
-    assigned = F.when(F.contains(stmt, F.lit("=")) & ~F.contains(stmt, F.lit(":=")), F.trim(F.substring_index(stmt, "=", 1)))
-    made = F.trim(F.regexp_replace(returned, "^&", ""))
+    assigned = F.when(F.contains(stmt, F.lit("=")) & ~F.contains(stmt, F.lit(":=")), T.trimmed(F.substring_index(stmt, "=", 1)))
+    made = T.trimmed(F.regexp_replace(returned, "^&", ""))
     call = F.coalesce(returned, stmt)
     single = ~call.rlike(r"[{}]") & call.rlike(r"(?s)^[^(]*[^(\s][^(]*\(.*\)$") & ~F.substring_index(call, "(", 1).rlike(r"[-+*/%<>=!&|]")
     falsy = lambda c: F.coalesce(c, F.lit(False))
