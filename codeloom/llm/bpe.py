@@ -5,6 +5,9 @@ an entry is that token if it may follow the last token of what is left of it (if
 A word's encoding is thus a chain of last-token states along its path in the trie, and words that share a prefix share
 these states. Sorted words are the trie in depth-first order; the path kept from one word to the next is their common
 prefix, so each trie node's state is computed once.
+
+Where only ids are wanted and no way to encode is named (packing, counting), the library's own model spells each distinct
+word instead; splitting, known words and joining are the same.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from functools import cache
 from os.path import commonprefix
 
 import regex
+import tokenizers
 
 from codeloom.llm.common import uncollected
 
@@ -43,10 +47,11 @@ class Trie:
     """Encoder for one vocabulary file (a tokenizers JSON file of the BPE kind with word ends).
 
     encode() equals the library's encode(text, add_special_tokens=False).ids, and decode() its decode of all ids.
-    limit bounds the words kept between batches; results do not depend on it.
+    limit bounds the words kept between batches; with by_model the library's model spells the words, without decoded
+    texts. Results depend on neither.
     """
 
-    def __init__(self, path: str, limit: int | None = None):
+    def __init__(self, path: str, limit: int | None = None, by_model: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -65,6 +70,7 @@ class Trie:
         self.odd = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.blank = regex.compile(f"[{WHITE}]+")
         self.limit, self.known, self.shown = limit or KNOWN, {}, {}
+        self.model = tokenizers.Tokenizer.from_file(path).model if by_model else None
         self.after: dict[str, dict[str, bool]] = {}  # by the last token: which tokens may follow
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -161,6 +167,11 @@ class Trie:
             pieces = split[c] = [c] if c.isalpha() else [c[:-1], c[-1]] if c[:-1].isalpha() and c[-1] in ",.;:!?" else self.find(c)
             alone.update(pieces)
         of = {self.lettered(p): p for p in alone if p not in known}
+        if self.model:
+            for word, piece in of.items():
+                ids = [t.id for t in self.model.tokenize(word)]
+                known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            of = {}
         for word, tokens in self.walk(of).items():
             known[of[word]] = struct.pack(f"<{len(tokens)}I", *map(self.vocab.__getitem__, tokens))
             if show:
@@ -192,9 +203,9 @@ class Trie:
 
 
 @cache
-def trie(path: str, show: bool = False) -> Trie:
-    """One encoder for each Python worker, vocabulary and kind of result."""
-    return Trie(path, KNOWN // 2 if show else KNOWN)
+def trie(path: str, show: bool = False, by_model: bool = False) -> Trie:
+    """One encoder for each Python worker, vocabulary, kind of result and way."""
+    return Trie(path, KNOWN // 2 if show else KNOWN, by_model)
 
 
 def vocabulary(path: str | None = None) -> str:

@@ -28,11 +28,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and n_tokens alone, for counting."""
+    """doc_id and n_tokens alone, for counting; the library's model spells the words."""
     path = vocabulary(path)
 
     def rows(batch):
-        yield {"doc_id": batch.column(0), "n_tokens": [len(i) // 4 for i, _ in trie(path).encode_batch(texts(batch))]}
+        yield {"doc_id": batch.column(0), "n_tokens": [len(i) // 4 for i, _ in trie(path, by_model=True).encode_batch(texts(batch))]}
 
     return mapped(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), rows, "doc_id long, n_tokens long")
 

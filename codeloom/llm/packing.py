@@ -29,7 +29,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = DOCUMENT_E
     schema = pa.schema([("part", pa.int64()), ("start", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = trie(path), TaskContext.get().partitionId(), 0
+        encoder, part, at = trie(path, by_model=True), TaskContext.get().partitionId(), 0
         kind = "<u2" if max(encoder.names) < 1 << 16 else "<u4"
         end = np.array([end_id], "<u4").astype(kind).tobytes()
         for batch in batches:

@@ -49,6 +49,7 @@ def test_trie_equals_library():
     cases = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(500)]
     for text, (ids, shown) in zip(cases, trie.encode_batch(cases, True), strict=True):
         assert (np.frombuffer(ids, "<u4").tolist(), shown.decode()) == library(text)
+    assert [i for i, _ in Trie(vocabulary(), by_model=True).encode_batch(cases)] == [i for i, _ in trie.encode_batch(cases)]
 
 
 def test_codec(spark, docs, texts):
