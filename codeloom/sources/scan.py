@@ -12,7 +12,9 @@ RAW_STRING = r'"(?:\\.|[^"\\\n])*"|`[^`]*`|\'(?:\\.|[^\'\\\n])*\''
 NAME = r"[^\W\d]\w*"
 REST = NAME + r"|\d[\w.]*|\.\.\.|:=|=>|<-|\+\+|--|&&|\|\||[-+*/%&|^=!<>]=+|\S"
 GO = re.compile(f"({SKIP})|({RAW_STRING})|({REST})", re.S)
-JS = re.compile(f"({SKIP})|({STRING})|({REST.replace(NAME, r'(?:[^\W\d]|[$#])[\w$]*')})", re.S)
+#: A pattern literal: a slash after what can't end an operand.
+PATTERN = r"(?:(?<=[(,=:!&|?])|(?<=[(,=:!&|?] ))/(?![/*])(?:\\.|\[(?:\\.|[^\]\n])*\]|[^/\\\n\[])+/[a-z]*"
+JS = re.compile(f"({SKIP})|({STRING}|{PATTERN})|({REST.replace(NAME, r'(?:[^\W\d]|[$#])[\w$]*')})", re.S)
 OPEN, CLOSE = "([{", ")]}"
 
 
