@@ -18,7 +18,7 @@ from codeloom.sources.store import Store
 from codeloom.tables import written
 
 #: Default and greatest value of each bounded argument.
-TOP_K, IMPACT_DEPTH, VARIABLES = (10, 200), (3, 10), (10, 100)
+TOP_K, IMPACT_DEPTH, TRACE_DEPTH, VARIABLES = (10, 200), (3, 10), (5, 20), (10, 100)
 NOTHING = {"find_definition": "no definition found", "get_callers": "no callers found", "get_callees": "no callees found", "impact_analysis": "no impact detected"}
 
 
@@ -49,7 +49,7 @@ class Engine:
             return counts
         old = written(now.select("path").unionByName(gone), "old")
         by = lambda column: (old.withColumnRenamed("path", column), [column])
-        deletes = {"files": by("path"), "raw_chunks": by("file_path"), "nodes": by("file"), "edges": by("file"), "imports": by("file"), "usage": by("file")}
+        deletes = {"files": by("path"), "raw_chunks": by("file_path"), "nodes": by("file"), "edges": by("file"), "imports": by("file"), "usage": by("file"), "variables": by("file"), "uses": by("file")}
         self.store.commit(
             puts={
                 "files": (now.select("path", F.col("hash").alias("sha1_hex")), ["path"]),
@@ -58,6 +58,8 @@ class Engine:
                 "edges": (code.edges(rows, by_file=True), ["src", "dst", "file"]),
                 "imports": (code.imports(rows, by_file=True), ["pkg", "dep", "file"]),
                 "usage": (code.usage(rows), ["type", "role", "user", "file", "line"]),
+                "variables": (code.variables(rows), ["def_id"]),
+                "uses": (code.uses(rows), ["use_id"]),
             },
             deletes=deletes,
         )
@@ -81,7 +83,7 @@ class Engine:
 
     def query(self, kind: str, text: str = "", **options) -> DataFrame:
         """The rows of a query kind: search_code, find_definition, find_references, get_callers, get_callees, impact_analysis,
-        get_context_pack, read_snippet, type_flow, variable_search, rag_status. Raises ValueError on others.
+        get_context_pack, read_snippet, trace_variable, function_dataflow, type_flow, variable_search, rag_status. Raises ValueError on others.
         """
         found = getattr(self, f"_{kind}", None) if kind in KINDS else None
         if found is None:
@@ -138,9 +140,22 @@ class Engine:
         return forward.unionByName(flow.type_backward(usage, text).select(F.lit("backward").alias("direction"), F.lit("field").alias("role"), F.coalesce("grandparent", "parent").alias("user")))
 
     def _variable_search(self, text: str, top_k: int = 10) -> DataFrame:
-        """Over the declared variables and constants of files."""
-        rows = self.store.table("raw_chunks").where("signature = '' and chunk_type = '4' and content <> ''")
-        return flow.variable_search(rows.select(F.col("symbol_name").alias("name"), F.lit("").alias("type"), F.col("file_path").alias("file"), F.col("start_line").alias("def_line")), text, bounded(top_k, VARIABLES))
+        rows = self.store.table("variables").select("name", "type", "file", "def_line").distinct()
+        return flow.variable_search(rows, text, bounded(top_k, VARIABLES))
+
+    def _trace_variable(self, text: str, location: str = "", depth: int = 5) -> DataFrame:
+        """step, name, depth: variables that text flows to, from arguments to the variables of the functions they occur in; location: part of a file's name, and :line."""
+        file, _, line = location.partition(":")
+        vars_ = self.store.table("variables")
+        start = vars_.where((F.col("name") == text) & F.contains("file", F.lit(file)) & (F.lit(not line.isdigit()) | (F.col("def_line") == int(line if line.isdigit() else 0))))
+        args = self.store.table("uses").where("kind = 2").select(F.col("name").alias("src"), "func_id").distinct()
+        links = args.join(vars_.select(F.col("name").alias("dst"), "func_id").distinct(), "func_id").where("src <> dst").select("src", "dst").distinct()
+        return flow.trace(links, text, bounded(depth, TRACE_DEPTH)).join(start.select(F.lit(1).alias("hit")).limit(1), F.lit(True), "left_semi")
+
+    def _function_dataflow(self, text: str) -> DataFrame:
+        vars_, uses = self.store.table("variables"), self.store.table("uses")
+        used = uses.where(F.col("func_id") == text).join(vars_.where("scope = 2").select("def_id", "scope"), "def_id").select("name", "scope", "func_id")
+        return flow.function_flow(vars_.select("name", "scope", "func_id").unionByName(used), uses, text)
 
     def _rag_status(self, text: str = "") -> DataFrame:
         empty = self.spark.createDataFrame([], "id string")

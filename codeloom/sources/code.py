@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from codeloom.functions import text as T
-from codeloom.sources import golang, script
+from codeloom.sources import defuse, golang, script
 
 #: The extensions that are indexed, and the chunk type of each declaration kind (others are functions, 4).
 EXTENSIONS = ["go", "js", "jsx", "ts", "tsx", "mjs", "cjs"]
@@ -27,7 +27,8 @@ MAX_TOKENS = 512
 PARSED = """path string, package string, is_test boolean, error string, imports array<string>,
 decls array<struct<kind:int,name:string,signature:string,recv:string,start_line:int,end_line:int>>,
 methods array<struct<recv:string,name:string,line:int>>, calls array<struct<caller:string,callee:string,line:int>>,
-usage array<struct<type:string,role:string,user:string,line:int>>"""
+usage array<struct<type:string,role:string,user:string,line:int>>,
+defs array<struct<name:string,type:string,scope:int,func_id:string,line:int>>, uses array<struct<name:string,line:int,kind:int,func_id:string,def:int>>"""
 
 
 def indexable(path: Column) -> Column:
@@ -87,13 +88,16 @@ def parsed(files: DataFrame, nested_calls: bool = False) -> DataFrame:
         go = path.endswith(".go")
         try:
             found = golang.parse(path, text, nested_calls) if go else script.parse(path, text)
+            walk = defuse.go(text) if go else defuse.js(path, text)
         except (ValueError, RecursionError, KeyError) as e:
-            return {"path": path, "error": str(e) if isinstance(e, ValueError) else f"parse: {type(e).__name__}", "imports": [], "decls": [], "methods": [], "calls": [], "usage": []}
+            return {"path": path, "error": str(e) if isinstance(e, ValueError) else f"parse: {type(e).__name__}", "imports": [], "decls": [], "methods": [], "calls": [], "usage": [], "defs": [], "uses": []}
         rows = lambda k, names: [dict(zip(names, r, strict=True)) for r in found.get(k, [])]
         return {
             "path": path, "package": found["package"], "is_test": found["is_test"], "imports": found["imports"],
             "decls": rows("decls", ("kind", "name", "signature", "recv", "start_line", "end_line")), "methods": rows("nodes", ("recv", "name", "line")),
             "calls": rows("calls", ("caller", "callee", "line")), "usage": rows("usage", ("type", "role", "user", "line")),
+            "defs": [dict(zip(("name", "type", "scope", "func_id", "line"), d, strict=True)) for d in walk.defs],
+            "uses": [dict(zip(("name", "line", "kind", "func_id", "def"), u, strict=True)) for u in walk.uses],
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +137,18 @@ def usage(rows: DataFrame) -> DataFrame:
     return rows.select("path", F.explode("usage").alias("u")).select("u.*", F.col("path").alias("file"))
 
 
+def variables(rows: DataFrame) -> DataFrame:
+    """def_id, name, type, scope (0 local, 1 parameter, 2 global), pkg, file, func_id, def_line: one row a definition."""
+    every = rows.select("path", "package", F.posexplode("defs").alias("at", "d"))
+    return every.select(F.format_string("%s#%d", "path", "at").alias("def_id"), "d.name", "d.type", "d.scope", F.col("package").alias("pkg"), F.col("path").alias("file"), "d.func_id", F.col("d.line").alias("def_line"))
+
+
+def uses(rows: DataFrame) -> DataFrame:
+    """use_id, def_id, name, file, line, kind (0 read, 1 write, 2 call argument, 3 return), func_id: input of flow.chains() and flow.flow_edges(), its own columns use_id and def_id being their resolved pairs."""
+    every = rows.select("path", F.posexplode("uses").alias("at", "u"))
+    return every.select(F.format_string("%s@%d", "path", "at").alias("use_id"), F.format_string("%s#%d", "path", "u.def").alias("def_id"), "u.name", F.col("path").alias("file"), "u.line", "u.kind", "u.func_id")
+
+
 def tested(rows: DataFrame) -> DataFrame:
     """path and symbol: what the tests TestX, TestX_y and TestX_Y of a file name: X, and X.Y if Y starts with a capital."""
     name = decls(rows).where("kind = 1 and name like 'Test_%'").select("path", F.substr("name", F.lit(5)).alias("n"))

@@ -62,6 +62,9 @@ def test_engine(spark, tmp_path):
     assert [r.text for r in e.query("read_snippet", "main.go:7-8").orderBy("line").collect()] == ["func live() {", "\thelper()"]
     pack = e.query("get_context_pack", "main.go:7-9").first().context
     assert pack.startswith("## primary") and "## nearby" in pack and "callee: helper" in pack
+    assert {(r.section, r.name) for r in e.query("function_dataflow", "main.helper").collect()} == {("internal", "session"), ("output", "session")}
+    assert e.query("variable_search", "session").first().def_line == 12 and e.query("trace_variable", "session", location="main.go:12").first().name == "session"
+    assert e.query("trace_variable", "session", location="main.go:13").count() == 0
     assert e.query("rag_status").first().ready
     with pytest.raises(ValueError):
         e.query("sync", "x")

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.sources import code, golang, script
+from codeloom.operators import flow
+from codeloom.sources import code, defuse, golang, script
 
 GO = """package svc
 
@@ -106,3 +107,62 @@ def test_syntax_search(rows):
     assert code.find_functions(files, found, "*").count() == 5
     assert pairs(code.find_types(files, found, "Eng"), "name", "snippet") == {("Engine", "type Engine struct {")}
     assert ("UserService", 6) in pairs(code.find_identifiers(files, "user").where(F.col("path") == "src/user.ts"), "name", "line")
+
+
+GO_FLOW = """package p
+var cfg = 1
+func f(x int, names []string) (out int) {
+\ty := x + 1
+\tif z := y; z > 0 {
+\t\ty := 5
+\t\tuse(y)
+\t}
+\tfor i := 0; i < x; i++ {
+\t\tlog(i, cfg)
+\t}
+\tx = 3
+\ta, err := g(x)
+\tb, err := g(a)
+\tfn := func(k int) int { return k + y }
+\treturn fn(b) + out
+}
+"""
+JS_FLOW = """const limit = 3;
+export function f(a, {b, c: d}) {
+  let e = a + limit;
+  const g = (h) => h + e;
+  for (const k of b) { use(k, d); }
+  e = 4;
+  return g(e);
+}
+class A { run(p) { const {q} = p; return q; } }
+"""
+
+
+def flows(walk):
+    return {(d[0], d[4]): (d[2], [(u[1], u[2]) for u in walk.uses if u[4] == i]) for i, d in enumerate(walk.defs)}
+
+
+def test_go_def_use():
+    got = flows(defuse.go(GO_FLOW))
+    assert got == {
+        ("cfg", 2): (2, [(10, 2)]), ("x", 3): (1, [(4, 0), (9, 0), (12, 1), (13, 2)]), ("names", 3): (1, []), ("out", 3): (0, [(16, 3)]),
+        ("y", 4): (0, [(5, 0), (15, 3), ]), ("z", 5): (0, [(5, 0)]), ("y", 6): (0, [(7, 2)]), ("i", 9): (0, [(9, 0), (9, 1), (10, 2)]),
+        ("a", 13): (0, [(14, 2)]), ("err", 13): (0, [(14, 1)]), ("b", 14): (0, [(16, 2)]), ("fn", 15): (0, [(16, 3)]), ("k", 15): (1, [(15, 3)]),
+    }
+
+
+def test_js_def_use():
+    got = flows(defuse.js("m.js", JS_FLOW))
+    assert got == {
+        ("limit", 1): (2, [(3, 0)]), ("a", 2): (1, [(3, 0)]), ("b", 2): (1, [(5, 0)]), ("d", 2): (1, [(5, 2)]), ("e", 3): (0, [(4, 0), (6, 1), (7, 2)]),
+        ("g", 4): (0, [(7, 3)]), ("h", 4): (1, [(4, 0)]), ("k", 5): (0, [(5, 2)]), ("p", 9): (1, [(9, 0)]), ("q", 9): (0, [(9, 3)]),
+    }
+
+
+def test_chains_from_sources(spark):
+    files = spark.createDataFrame([("p.go", GO_FLOW), ("m.js", JS_FLOW)], "path string, content string")
+    found = code.parsed(files)
+    used = code.uses(found)
+    got = {r.def_id: (r.n_uses, r.n_returns) for r in flow.chains(code.variables(found), used.select("use_id", "def_id"), used.drop("def_id")).collect()}
+    assert got["p.go#1"] == (4, 0) and got["p.go#4"] == (2, 1) and got["m.js#0"] == (1, 0)
