@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.operators import chunks as C
 from codeloom.operators import flow, graph, maintenance, search
-from codeloom.plans import catalog
+from codeloom.plans import catalog, source_queries  # noqa: F401 (registers its queries)
 
 CHUNKS = "id string, file_path string, chunk_type string, symbol_name string, signature string, start_line int, end_line int, content string, reachability string, context_weight double, semantic_role string, fold_reason string"
 
@@ -93,7 +93,7 @@ def test_maintenance_and_flow(spark):
     assert {tuple(r) for r in flow.innermost(defs, uses).collect()} == {("u4", "d1"), ("u7", "d0")}
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "search_ranked", "hybrid_rrf", "resolve_callees", "impact_full", "reachability", "context_pack", "innermost_def", "latency_percentiles"])
+@pytest.mark.parametrize("name", ["bm25_topk", "search_ranked", "hybrid_rrf", "resolve_callees", "impact_full", "reachability", "context_pack", "innermost_def", "latency_percentiles", "source_declarations", "source_call_graph", "source_chunks", "source_def_use"])
 def test_queries_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     d, con = "/root/testdata/sf0.001", duckdb.connect()
