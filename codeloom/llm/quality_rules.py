@@ -134,7 +134,8 @@ def quality(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality() keeps, with their own columns only."""
     row = docs.select("text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return judged(row).where("kept").select("row.*")
+    # a filter pushed below the distances would repeat their expressions, and compute them several times a row; it can't pass mark
+    return judged(row).withColumn("mark", F.monotonically_increasing_id()).where("kept and mark >= 0").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
