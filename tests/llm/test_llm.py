@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from codeloom.llm import chat_formatting, embedding_dedup, lm_scoring, packing, quality_rules, simhash_dedup, token_counts, toxicity, url_filters
+from codeloom.llm import chat_formatting, embedding_dedup, lm_scoring, near_dedup, packing, quality_rules, simhash_dedup, token_counts, toxicity, url_filters
 from codeloom.llm.bpe import Trie, vocabulary
 from codeloom.llm.bpe_codec import digests, encode
 
@@ -158,6 +158,40 @@ def test_simhash(spark, docs, texts, monkeypatch):
     assert kept.columns == docs.columns and simhash_dedup.clusters(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [6, 2])
+def test_near_duplicates(spark, monkeypatch, common):
+    """The pipeline's stage against brute force over five-word shingles: most of these pairs are far beyond two bits of a fingerprint."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(near_dedup, "COMMON", common)
+    rng = random.Random(8)
+    passage = words(rng, 30)
+    some = []
+    for k in range(25):
+        w = words(rng, rng.randint(20, 120)).split() + (passage.split() if k % 3 == 0 else [])
+        for edits in (0, 1, 1, 2, 3, 4):
+            v = list(w)
+            for _ in range(edits):
+                v[rng.randrange(len(v))] = words(rng, 1)
+            some.append(" ".join(v))
+    some += ["a b", "A\tb", "", " \n", None, some[0].upper()]
+    rows = [(i, t) for i, t in enumerate(some)] + [(3, "other text that has the id of another row but no link to it"), (None, some[7]), (None, "no row with an id is like this one"), (None, "no row with an id is like this ONE")]
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {()}
+
+    sets = [grams(t) for _, t in rows]
+    label = component(len(rows), lambda i, j: sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    expected = {}
+    for k, (i, t) in enumerate(rows):
+        expected.setdefault(label[k], []).append((i is None, i or 0, t or "", k))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(kept) == len(expected) and Counter(r.doc_id for r in kept) == Counter(None if min(g)[0] else min(g)[1] for g in expected.values())
+    assert 0 < len(expected) < len(rows) - 30
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16))
