@@ -2,7 +2,8 @@
 
 The kernel of two words is the cosine of their gap-weighted three-letter subsequences: letters up to SPAN places apart,
 each skipped place damped by DECAY, so words with inserted or left-out characters stay close; below LEAST it counts as
-nothing. The kernel of a sentence and a landmark is the sum over the sentence's words of the word kernel to the POWER-th. A linear machine over the
+nothing. The kernel of a sentence and a landmark is the sum over the sentence's words of the word kernel, which counts
+whole from FULL on, as a gap costs a word that much, and to the POWER-th of its share of FULL below. A linear machine over the
 kernels with the landmarks is trained on sentences; as it is linear, its decision on a sentence is the sum of one value
 a word, and a document's score comes from its strongest sentence.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import mapped, read, texts, uncollected, words_of
 
-SPAN, DECAY, POWER, LEAST = 5, 0.8, 4, 0.45
+SPAN, DECAY, POWER, LEAST, FULL = 5, 0.8, 4, 0.45, 0.7
 #: Bounds: labelled rows of each class to learn from, landmarks, words of one sentence at most, distinct words of the sample that may become landmarks.
 SAMPLE, LANDMARKS, SENTENCE, CANDIDATES = 800, 64, 24, 3000
 #: Weight of clean documents against toxic ones: most documents are clean, and those are to stay.
@@ -32,6 +33,11 @@ EDGES = ".,;:!?\"'()[]{}<>|*&%#-_~`"
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
+def counted(k):
+    """A word kernel as it counts: whole from FULL on, below it to the POWER-th."""
+    return np.minimum(k / FULL, 1) ** POWER
+
+
 def letters(word: str) -> str:
     """A word as the kernel reads it: lower case, folded, letters only; words in other scripts keep their letters by code."""
     if word.isascii() and word.isalpha():
@@ -83,7 +89,7 @@ class Kernel:
         self.most = self.table.max(1, initial=0)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of the words that have a kernel of LEAST or more with some landmark, and their rows of kernels to the POWER-th.
+        """Indices of the words that have a kernel of LEAST or more with some landmark, and their rows of kernels as counted().
 
         The best landmark for each subsequence alone bounds a word's kernels from above, so most words are left out early.
         """
@@ -105,7 +111,7 @@ class Kernel:
                 sums = np.minimum(sums / np.sqrt(norm[near])[:, None], 1)
                 some = np.nonzero(sums.max(1) >= LEAST)[0]
                 kept.append(index[near[some]])
-                rows.append(np.where(sums[some] >= LEAST, sums[some] ** POWER, np.float32(0)))
+                rows.append(np.where(sums[some] >= LEAST, counted(sums[some]), np.float32(0)))
         return np.concatenate(kept), np.concatenate(rows)
 
     def full(self, words: list[str]) -> np.ndarray:
@@ -250,7 +256,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
         for i, w in enumerate(pool):
             if len(chosen) == most:
                 break
-            if like[i] < 0.75**POWER:
+            if like[i] < counted(0.75):
                 chosen.append(w)
                 like = np.maximum(like, Kernel([w]).full(pool)[:, 0])
     if not chosen:

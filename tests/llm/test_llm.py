@@ -226,6 +226,11 @@ def test_toxicity():
     assert toxicity.fit([]).scores(["a"])[0] < 0.5
 
 
+def test_toxicity_inserted_letter():
+    for plain, gapped in (("idiot", "idxiot"), ("moron", "morxon"), ("clown", "clxown"), ("scum", "scxum"), ("stupid", "stuxpid"), ("pathetic", "patxhetic")):
+        assert toxicity.Kernel([plain]).full([plain, gapped])[1, 0] > 0.35
+
+
 def test_toxicity_query(spark, docs):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
     rows = toxicity.scored(docs, toxicity.trained(docs, labels)).collect()
