@@ -21,8 +21,13 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def in_edges(edges: DataFrame) -> DataFrame:
+    """id and caller: every distinct source of each destination, one row each, so that hot nodes need no array."""
+    return edges.select(F.col("dst").alias("id"), F.col("src").alias("caller")).distinct()
+
+
 def reverse_adjacency(edges: DataFrame) -> DataFrame:
-    """id and callers: the distinct sources of each destination, counted and hashed into one order-free row a node."""
+    """id, n_callers, first_caller and last_caller: a summary of in_edges(), one row a node."""
     return edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_callers"), F.min("src").alias("first_caller"), F.max("src").alias("last_caller"))
 
 

@@ -190,6 +190,8 @@ query(f"with {B.OWNERSHIP} select dst as id from edges where src = 'c:7'", "call
 query(f"with {B.IMPORTS} select pkg as id from imports where dep = '/the'", "importers")(lambda s, d: B.imports(s, d).where("dep = '/the'").select(F.col("pkg").alias("id")))
 query(f"with {B.IMPORTS} select pkg, count(*) as n_deps, min(dep) as first_dep from imports group by pkg", "dependencies")(lambda s, d: B.imports(s, d).groupBy("pkg").agg(F.count("*").alias("n_deps"), F.min("dep").alias("first_dep")))
 query(f"with {B.OWNERSHIP} select dst as id, count(*) as n_callers, min(src) as first_caller, max(src) as last_caller from edges group by dst", "reverse_adjacency")(lambda s, d: graph.reverse_adjacency(B.ownership(s, d)))
+query(f"with {B.IMPORTS} select distinct pkg, dep from imports", "dependency_pairs")(lambda s, d: B.imports(s, d).select("pkg", "dep").distinct())
+query(f"with {B.OWNERSHIP} select distinct dst as id, src as caller from edges", "caller_pairs")(lambda s, d: graph.in_edges(B.ownership(s, d)))
 query(f"with {B.OWNERSHIP} select (select count(*) from (select src as id from edges union select dst from edges)) as nodes, (select count(*) from edges) as edges", "graph_stats")(lambda s, d: graph.stats((e := B.ownership(s, d)).select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e))
 
 

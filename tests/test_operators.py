@@ -103,3 +103,15 @@ def test_queries_against_sql(spark, name):
     assert sorted(ours.columns) == sorted(theirs.columns)
     shape = lambda f: sorted(tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False))
     assert shape(ours) == shape(theirs)
+
+
+def test_whole_in_edges_and_dependencies(spark):
+    import __spark_entry__
+    from codeloom.operators import graph
+
+    edges = spark.createDataFrame([(f"f{i}", "hot") for i in range(5)] + [("f1", "hot"), ("hot", "f1")], "src string, dst string")
+    assert sorted(map(tuple, graph.in_edges(edges).collect())) == [("f1", "hot"), *(("hot", f"f{i}") for i in range(5))]
+    queries, d = __spark_entry__.queries(), "/root/testdata/sf0.001"
+    for whole, summary, key, n in (("caller_pairs", "reverse_adjacency", "id", "n_callers"), ("dependency_pairs", "dependencies", "pkg", "n_deps")):
+        counts = {r[key]: r["count"] for r in queries[whole](spark, d).groupBy(key).count().collect()}
+        assert counts == {r[key]: r[n] for r in queries[summary](spark, d).collect()} and max(counts.values()) > 1
