@@ -91,10 +91,10 @@ class Engine:
         return found(text, **options)
 
     def text(self, kind: str, text: str = "", **options) -> str:
-        """A query's rows, numbered, as text; a note where there are none. Meant for bounded results: those of the queries above."""
+        """A query's rows, numbered, as text; a note where there are none. All rows are given, read a partition at a time."""
         rows = self.query(kind, text, **options)
         order = [c for c in ("rank", "section", "direction", "depth", "line", "id") if c in rows.columns]
-        shown = [" ".join(str(v) for c, v in r.asDict().items() if c not in ("rank", "section") and v is not None) for r in (rows.orderBy(*order) if order else rows).limit(1000).collect()]
+        shown = [" ".join(str(v) for c, v in r.asDict().items() if c not in ("rank", "section") and v is not None) for r in (rows.orderBy(*order) if order else rows).toLocalIterator()]
         return "\n".join(f"{i}. {line}" for i, line in enumerate(shown, 1)) or NOTHING.get(kind, "no results")
 
     def _search_code(self, text: str, top_k: int = 10, language: str = "", path: str = "") -> DataFrame:

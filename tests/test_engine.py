@@ -88,3 +88,11 @@ def test_streams(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "docs"))
     live.into_store(live.postings(live.source(spark, str(tmp_path / "docs"), "id string, content string")), s, "df", ["term"], str(tmp_path / "c3")).awaitTermination(90)
     assert {(r.term, r.df) for r in s.table("df").collect()} == {("alpha", 1), ("beta", 2)}
+
+
+def test_text_gives_every_row(spark, monkeypatch):
+    from codeloom.plans.engine import Engine
+
+    engine = Engine.__new__(Engine)
+    monkeypatch.setattr(engine, "query", lambda kind, text, **options: spark.range(1500).selectExpr("cast(id as string) id"), raising=False)
+    assert len(engine.text("get_callers", "hot").split("\n")) == 1500
