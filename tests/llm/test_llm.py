@@ -258,17 +258,89 @@ def test_chat(spark):
 
 
 def test_lm(spark, docs, texts):
-    got = {r.doc_id: r for r in lm_scoring.scored(docs).collect() if r.doc_id is not None}
+    got = {r.doc_id: r for r in lm_scoring.scored(docs).collect()}
     every = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), " "]) for i, t in [*enumerate(texts), (5, texts[5])]]
     count = Counter(w for i, t in every if crc32(str(i).encode()) % 5 != 1 for w in t)
     n, v = sum(count.values()), len(count)
-    for i, t in every:
+    for i, t in [*every, (None, ["null", "id", " "])]:
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc32(str(i).encode()) % 5 == 1, len(t), sum(w in count for w in t), n)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (None if i is None else crc32(str(i).encode()) % 5 == 1, len(t), sum(w in count for w in t), n)
         assert abs(r.base_score - sum(np.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) < 1e-6 and r.score < 0
     assert lm_scoring.scored(docs.limit(0)).count() == 0
 
 
+def test_lm_blocks_and_copies(spark, monkeypatch):
+    """However rows are dealt to blocks, counts are those of the corpus; texts that occur twice are set apart; two runs agree."""
+    monkeypatch.setattr(lm_scoring, "SPAN", 16)
+    monkeypatch.setattr(lm_scoring, "LONG", 600)
+    rng = random.Random(4)
+    rows = [(i, words(rng, rng.choice([20, 60, 300]))) for i in range(150)]
+    rows += [(200 + i, rows[i][1]) for i in range(0, 150, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm_scoring.scored(frame).collect()}
+    count = Counter(w for i, t in rows if crc32(str(i).encode()) % 5 != 1 for w in [*t.lower().split(), " "])
+    n, v = sum(count.values()), len(count)
+    for i, t in rows:
+        assert abs(got[i].base_score - sum(np.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*t.lower().split(), " "])) < 1e-6
+    trained = {i for i, _ in rows if crc32(str(i).encode()) % 5 != 1}
+    twice = [got[i].bits_per_byte for i, t in rows if len(t) > 100 and any(u == t and k != i and k in trained for k, u in rows)]
+    once = [got[i].bits_per_byte for i, t in rows if len(t) > 100 and sum(u == t for _, u in rows) == 1]
+    assert np.mean(np.array(twice) < np.quantile(once, 0.05)) > 0.6
+    again = {r.doc_id: r.score for r in lm_scoring.scored(frame).collect()}
+    assert all(abs(again[i] - r.score) < 1e-9 for i, r in got.items())
+
+
+def test_lm_against_scalars():
+    """A text's bits and words one by one, with dictionaries in place of sorts; the corpus's tables are the model's own."""
+    rng = random.Random(6)
+    t = [words(rng, 60).lower() for _ in range(12)]
+    u = [lm_scoring.Tokens(x).u for x in t]
+    code, prior = lm_scoring.CODE, lm_scoring.PRIOR
+    counts = np.zeros((1 << lm_scoring.SLOTS, 2), "f4")
+    for x in u:
+        node, bit = lm_scoring.path(x)
+        np.add.at(counts, (lm_scoring.slots(x, node), bit), 1)
+    key, c = np.unique(np.concatenate(u), return_counts=True)
+    of = (key >> np.uint64(64 - code)).astype(int)
+    model = lm_scoring.Model(counts, np.zeros(1 << code, "f4"), np.bincount(of, c, 1 << code), np.bincount(of, minlength=1 << code), 0.5, float(c.sum()), None)
+    text = u[0]
+    told = lm_scoring.Block(key.view("i8"), c, {})
+    count = np.array([int(c[key == h][0]) for h in text])
+    score = model.text(text, count, np.zeros(len(text)), told, False, lm_scoring._earlier(text))
+    assert (model.own == 0).all() and len(text) < lm_scoring.CHUNK
+    total, seen, last, earlier, classes = 0.0, Counter(), {}, Counter(), Counter()
+    for i, h in enumerate(text.tolist()):
+        k = h >> (64 - code)
+        before = int(text[i - 1]) if i else 0
+        guess = int(text[last[before] + 1]) >> (64 - code) if i and before in last else None
+        for d in range(code):
+            node, bit = 1 << d | k >> (code - d), k >> (code - 1 - d) & 1
+            slot = int(lm_scoring.slots(text[max(i - 1, 0) : i + 1], np.repeat(np.array([node]), code * (min(i, 1) + 1)))[-1])
+            c0, c1 = counts[slot]
+            x = [0.0, np.log((c1 + prior) / (c0 + prior)), np.log((seen[node, 1] + prior) / (seen[node, 0] + prior)), 0.0, 0.0, 0.3]
+            agree = guess is not None and (guess ^ k) >> (code - d) == 0
+            if agree:
+                x[3] = 1.0 if guess >> (code - 1 - d) & 1 else -1.0
+            gate = 3 * agree + int(c0 + c1 > 2) + int(c0 + c1 > 50)
+            dot = min(8, max(-8, sum(w * v for w, v in zip(model.weights[:, gate], x, strict=True))))
+            cell = model.seen[0, int(dot * 2 + lm_scoring.BUCKETS // 2 + 0.5)]
+            p = 1 / (1 + np.exp(-dot))
+            total += np.log10(((p if bit else 1 - p) + cell[bit] / cell.sum()) / 2)
+        for d in range(code):
+            seen[1 << d | k >> (code - d), k >> (code - 1 - d) & 1] += 1
+        p = (count[i] - 0.5) / model.in_class[k]
+        if classes[k]:
+            share = model.shares[lm_scoring.STATES + (classes[k] > 3) + (classes[k] > 15) + (classes[k] > 63)]
+            q = share[1] / share.sum()
+            p = (1 - q) * p + q * earlier[h] / classes[k]
+        total += np.log10(p)
+        if i:
+            last[before] = i - 1
+        earlier[h] += 1
+        classes[k] += 1
+    assert abs(total - score) < 1e-3 * abs(total)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
