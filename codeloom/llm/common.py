@@ -89,7 +89,8 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         ends = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that both sides of the join are dealt for it alone, and a large star's rows can be split over tasks
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         near = both.where("v > u") if large else both.where("v < u")
         joined = near.join(least, "u")
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,9 @@ from codeloom.llm.common import components, hold, read, written
 
 THRESHOLD, TREES, SPILL = 0.95, 12, 0.04
 #: Vectors that the trees are fitted on at most; vectors aimed at in a leaf; rows of a leaf that one task compares with its other blocks.
-SAMPLE, LEAF, DEPTH, BLOCK = 20_000, 256, 12, 4096
+SAMPLE, LEAF, BLOCK = 20_000, 256, 4096
+#: No leaf's number reaches this, so that a dimension and a leaf make one key.
+LEAVES = 1 << 32
 
 
 class Forest:
@@ -31,13 +34,13 @@ class Forest:
         least = max(4, int(LEAF * len(sample) / max(rows, 1)))
         tight = np.cos(np.arccos(THRESHOLD) / 2)
 
-        def grow(index: np.ndarray, depth: int, nodes: list) -> int:
+        def grow(index: np.ndarray, nodes: list) -> int:
             me = len(nodes)
             nodes.append(None)
             part = sample[index]
             centre = part.mean(0) if len(part) else np.zeros(sample.shape[1])
             size = np.linalg.norm(centre)
-            if len(index) <= least or depth == DEPTH or size > 0 and (part @ centre / size).min() > tight:
+            if len(index) <= least or size > 0 and (part @ centre / size).min() > tight:
                 nodes[me] = self.leaves
                 self.leaves += 1
                 return me
@@ -54,12 +57,12 @@ class Forest:
                 nodes[me] = self.leaves
                 self.leaves += 1
                 return me
-            nodes[me] = (way, cut, grow(left, depth + 1, nodes), grow(right, depth + 1, nodes))
+            nodes[me] = (way, cut, grow(left, nodes), grow(right, nodes))
             return me
 
         for _ in range(trees):
             nodes: list = []
-            grow(np.arange(len(sample)), 0, nodes)
+            grow(np.arange(len(sample)), nodes)
             self.trees.append(nodes)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
@@ -106,26 +109,40 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def found(classes: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """From classes (rep, copies, embedding), all of one dimension: written links (rep, n: vectors of other classes linked) and edges (a, b)."""
+    """From classes (rep, copies, embedding): links (rep, n: vectors of other classes linked), written, and edges (a, b).
+
+    Each dimension has a forest of its own, fitted on its part of the sample; one that the sample lacks is one leaf a tree.
+    """
     spark = classes.sparkSession
     hold(spark)
     rows = classes.count()
     sample = classes.select("embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow().column(0).to_pylist()
-    forest = spark.sparkContext.broadcast(Forest(_unit(sample), rows, trees) if sample else None)  # some thousand directions, bounded by SAMPLE, DEPTH and trees
+    by_size: dict[int, list] = {}
+    for v in sample:
+        by_size.setdefault(len(v), []).append(v)
+    # some thousand directions, bounded by SAMPLE and trees
+    forests = {dim: Forest(_unit(vs), max(len(vs), rows * len(vs) // len(sample)), trees) for dim, vs in by_size.items()}
+    forest = spark.sparkContext.broadcast(forests)
     schema = pa.schema([("leaf", pa.int64()), ("rep", pa.int64()), ("copies", pa.int64()), ("x", pa.binary()), ("places", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(batch.column(2).to_pylist())
-            places = forest.value.assign(x)
-            rep, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            xs, ps = [v.tobytes() for v in x], [p.tobytes() for p in places]
-            r, k = np.nonzero(places >= 0)
-            for at in range(0, len(r), 4000):
-                i, leaf = r[at : at + 4000], places[r[at : at + 4000], k[at : at + 4000]].astype("i8")
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(rep[i]), pa.array(copies[i]), pa.array([xs[j] for j in i], pa.binary()), pa.array([ps[j] for j in i], pa.binary())], schema=schema)
+            sizes = pa.compute.list_value_length(batch.column(2)).to_numpy()
+            for dim in np.unique(sizes).tolist():
+                yield from dealt_out(dim, batch.filter(pa.array(sizes == dim)))
+
+    def dealt_out(dim: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x = _unit(batch.column(2).to_pylist())
+        known = forest.value.get(dim)
+        places = known.assign(x) if known else np.tile(np.array([0, -1], "i4"), (len(x), 1))
+        rep, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        xs, ps = [v.tobytes() for v in x], [p.tobytes() for p in places]
+        r, k = np.nonzero(places >= 0)
+        for at in range(0, len(r), 4000):
+            i, leaf = r[at : at + 4000], places[r[at : at + 4000], k[at : at + 4000]].astype("i8") + dim * LEAVES
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(rep[i]), pa.array(copies[i]), pa.array([xs[j] for j in i], pa.binary()), pa.array([ps[j] for j in i], pa.binary())], schema=schema)
 
     dealt = written(classes.select("rep", "copies", "embedding").mapInArrow(deal, "leaf long, rep long, copies long, x binary, places binary"), "leaves")
     # a leaf of more than BLOCK rows is compared block by block: each row goes to its block with every other one
@@ -139,7 +156,8 @@ def found(classes: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame]
         kind = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("least", pa.int64())])
 
         def one(key: tuple, held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            leaf, lo, hi = key
+            _, lo, hi = key
+            leaf = key[0] % LEAVES
             own = np.concatenate([b.column("own").to_numpy() for b in held])
             if len(own) < 2:
                 return None
@@ -201,24 +219,21 @@ def clusters(vectors: DataFrame, trees: int = TREES) -> DataFrame:
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing. Equal vectors are one class,
     linked among themselves; classes are compared within leaves. Vectors of different dimensions are never linked: each
-    dimension has its own forest. Repeated rows count as vectors of their own; null ids stay null, in a component of
-    their own unless linked; other columns are ignored; no rows give no rows.
+    dimension has its own forest. Repeated rows count as vectors of their own. A row without vec_id links like any other
+    but names no component: component_id is the smallest vec_id that there is, or null if there is none, and kept then
+    true. Other columns are ignored; no rows give no rows.
     """
-    good = written(usable(vectors), "vectors")
-    classes = written(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null").withColumn("dim", F.size("embedding")), "vector-classes")
-    links = edges = None
-    for (dim,) in classes.select("dim").distinct().limit(1000).collect():
-        n, e = found(classes.where(F.col("dim") == dim), trees)
-        links, edges = (n, e) if links is None else (links.unionByName(n), edges.unionByName(e))
-    alone = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if links is None:
-        return alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    good = written(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    classes = written(good.groupBy("embedding").agg(F.min("row").alias("rep"), F.min("vec_id").alias("first"), F.count("*").alias("copies")), "vector-classes")
+    links, edges = found(classes.select("rep", "copies", "embedding"), trees)
     joined = components(edges)
-    of_class = classes.select("embedding", "rep", "copies").join(links.withColumnRenamed("n", "others"), "rep", "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    of_class = of_class.select("embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.join(links.withColumnRenamed("n", "others"), "rep", "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    of_class = written(of_class.select("embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first", F.coalesce("component", "rep").alias("component")), "vector-components")
+    least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = of_class.select("embedding", "n_links", "component").join(least, "component")
     rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    out = rest.join(of_class, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = rest.join(named, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

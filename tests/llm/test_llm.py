@@ -208,6 +208,18 @@ def test_embeddings(spark):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(900, 905))
 
 
+def test_embeddings_odd(spark):
+    """Rows without vec_id link like others, equal rows are vectors of their own, and every dimension is compared."""
+    schema = "vec_id long, embedding array<double>, rep string, leaf string"
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.0]), (5, [1.0, 0.1]), (7, [0.0, 1.0]), (7, [0.0, 1.0]), (None, [-1.0, 0.0])]
+    got = embedding_dedup.clusters(spark.createDataFrame([(*r, "", "") for r in rows], schema)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, True), (0, 2, 5, False), (0, 2, 5, False), (5, 2, 5, True), (7, 1, 7, True), (7, 1, 7, True)]
+    assert embedding_dedup.clusters(spark.createDataFrame([], schema)).count() == 0
+    many = [(2 * n + k, [1.0] * (n + 1) + [0.05 * k] * 3) for n in range(1200) for k in (0, 1)]
+    got = embedding_dedup.clusters(spark.createDataFrame([(*r, "", "") for r in many], schema)).collect()
+    assert all((r.n_links, r.component_id) == (1, r.vec_id // 2 * 2) for r in got) and len(got) == 2400
+
+
 def test_toxicity():
     rng = random.Random(2)
     bad = ["grumwit", "zorbling", "flaxnard"]
