@@ -2,7 +2,8 @@
 
 The kernel of two words is the cosine of their gap-weighted three-letter subsequences: letters up to SPAN places apart,
 each skipped place damped by DECAY, so words with inserted or left-out characters stay close; below LEAST it counts as
-nothing. The kernel of a sentence and a landmark is the sum over the sentence's words of the word kernel, which counts
+nothing. A word that is close but not equal is also read without each of its letters in turn, damped by INSERTED, and the
+largest counts: an inserted letter costs no more than that. The kernel of a sentence and a landmark is the sum over the sentence's words of the word kernel, which counts
 whole from FULL on, as a gap costs a word that much, and to the POWER-th of its share of FULL below. A linear machine over the
 kernels with the landmarks is trained on sentences; as it is linear, its decision on a sentence is the sum of one value
 a word, and a document's score comes from its strongest sentence.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import mapped, read, texts, uncollected, words_of
 
-SPAN, DECAY, POWER, LEAST, FULL = 5, 0.8, 4, 0.45, 0.7
+SPAN, DECAY, POWER, LEAST, FULL, INSERTED = 5, 0.8, 4, 0.45, 0.85, 0.9
 #: Bounds: labelled rows of each class to learn from, landmarks, words of one sentence at most, distinct words of the sample that may become landmarks.
 SAMPLE, LANDMARKS, SENTENCE, CANDIDATES = 800, 64, 24, 3000
 #: Weight of clean documents against toxic ones: most documents are clean, and those are to stay.
@@ -89,7 +90,17 @@ class Kernel:
         self.most = self.table.max(1, initial=0)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of the words that have a kernel of LEAST or more with some landmark, and their rows of kernels as counted().
+        """Indices of the words that have a kernel of LEAST or more with some landmark, and their rows of kernels as counted()."""
+        kept, rows = self.plain(words)
+        close = [k for k, m in enumerate(rows.max(1, initial=0)) if m < INSERTED and len(words[kept[k]]) > 3]
+        less = [(k, w[:i] + w[i + 1 :]) for k in close for w in (words[kept[k]],) for i in range(len(w))]
+        if less:
+            some, found = self.plain([w for _, w in less])
+            np.maximum.at(rows, np.array([less[i][0] for i in some], "i8"), found * np.float32(INSERTED))
+        return kept, counted(rows)
+
+    def plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As __call__(), words as they stand: cosines, 0 where they are below LEAST.
 
         The best landmark for each subsequence alone bounds a word's kernels from above, so most words are left out early.
         """
@@ -111,7 +122,7 @@ class Kernel:
                 sums = np.minimum(sums / np.sqrt(norm[near])[:, None], 1)
                 some = np.nonzero(sums.max(1) >= LEAST)[0]
                 kept.append(index[near[some]])
-                rows.append(np.where(sums[some] >= LEAST, counted(sums[some]), np.float32(0)))
+                rows.append(np.where(sums[some] >= LEAST, sums[some], np.float32(0)))
         return np.concatenate(kept), np.concatenate(rows)
 
     def full(self, words: list[str]) -> np.ndarray:
@@ -310,7 +321,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """fit() on at most sample labelled documents of each class, chosen by the hash of their ids, never those whose crc32(doc_id as text) mod 5 is 0.
 
-    Labels that are null, or that contradict each other for one id, are left out. Only doc_id, text and toxic are read.
+    Labels that are null, or that contradict each other for one id, are left out; of several texts of one id the least counts. Only doc_id, text and toxic are read.
     """
     marked = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     usable = marked.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -319,7 +330,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         part = usable.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     # the broadcast holds 2 * sample ids at most
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
     rows = found.select("doc_id", F.col("text"), "toxic").collect()
     return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 

@@ -238,9 +238,66 @@ def test_toxicity():
     assert toxicity.fit([]).scores(["a"])[0] < 0.5
 
 
+def cosine(a, b):
+    """Of the gap-weighted three-letter subsequences of two words, by listing them."""
+
+    def weights(w):
+        w, out = "^" + w, Counter()
+        for i in range(len(w)):
+            for k in range(i + 2, min(i + toxicity.SPAN, len(w))):
+                for j in range(i + 1, k):
+                    out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    x, y = weights(a), weights(b)
+    # a word's norm is taken as if no subsequence came twice
+    once = sum(toxicity.DECAY ** (2 * (k - i - 2)) * (k - i - 1) for i in range(len(a) + 1) for k in range(i + 2, min(i + toxicity.SPAN, len(a) + 1)))
+    return min(1.0, sum(x[g] * y[g] for g in x) / np.sqrt(once * sum(v * v for v in y.values())))
+
+
+def test_toxicity_kernel():
+    rng = random.Random(9)
+    landmarks = ["idiot", "pathetic", "scum"]
+    some = [*landmarks, *("".join(rng.choices("aeidopthcsum", k=rng.randint(3, 9))) for _ in range(60)), "idot", "pathhetic", "scuxm"]
+    got = toxicity.Kernel(landmarks).full(some)
+    for w, row in zip(some, got, strict=True):
+        for mark, k in zip(landmarks, row.tolist(), strict=True):
+            plain = [cosine(v, mark) for v in [w, *(w[:i] + w[i + 1 :] for i in range(len(w)))]]
+            if abs(plain[0] - toxicity.LEAST) < 1e-3 or abs(max(plain) - toxicity.INSERTED) < 1e-3 or max(cosine(w, m) for m in landmarks) < toxicity.LEAST:
+                continue
+            best = max([plain[0], *(toxicity.INSERTED * p for p in plain[1:])]) if max(cosine(w, m) for m in landmarks) < toxicity.INSERTED and len(w) > 3 else plain[0]
+            expected = toxicity.counted(best) if best >= toxicity.LEAST else 0
+            assert abs(k - expected) < 1e-3 or best < toxicity.LEAST / toxicity.INSERTED and k <= expected + 1e-3
+
+
 def test_toxicity_inserted_letter():
-    for plain, gapped in (("idiot", "idxiot"), ("moron", "morxon"), ("clown", "clxown"), ("scum", "scxum"), ("stupid", "stuxpid"), ("pathetic", "patxhetic")):
-        assert toxicity.Kernel([plain]).full([plain, gapped])[1, 0] > 0.35
+    """Any one letter inserted anywhere, doubled or left apart by a sign, keeps a learnt word as it was."""
+    bad = ["idiot", "moron", "clown", "scum", "stupid", "pathetic"]
+    kernel = toxicity.Kernel(bad)
+    for k, w in enumerate(bad):
+        gapped = [w[:i] + c + w[i:] for i in range(1, len(w)) for c in "axq"]
+        assert kernel.full(gapped)[:, k].min() >= 0.95
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        t = words(rng, 40).split()
+        if i % 3 == 0:
+            t[rng.randrange(40)], t[rng.randrange(40)] = rng.choice(bad), rng.choice(bad)
+        rows.append((" ".join(t) + ".", int(i % 3 == 0)))
+    model = toxicity.fit(rows)
+    gapped = [w[:i] + "x" + w[i:] for w in bad for i in range(1, len(w))]
+    assert (model.scores([f"an {w} on the {w} of." for w in gapped]) >= 0.5).mean() > 0.9
+
+
+def test_toxicity_labels(spark):
+    """Contradicting labels and repeated ids have a defined result, and empty tables are learnt from and scored."""
+    rows = [(1, "b"), (1, "a"), (2, None), (None, "x"), (3, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (3, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.trained(docs, labels)
+    got = toxicity.scored(docs, model).collect()
+    assert len(got) == 5 and all(r.predicted == 0 for r in got)
+    assert toxicity.scored(docs.limit(0), toxicity.trained(docs.limit(0), labels.limit(0))).count() == 0
 
 
 def test_toxicity_query(spark, docs):
