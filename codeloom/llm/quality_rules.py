@@ -1,7 +1,9 @@
 """Quality rules (method: distribution divergence). Built-in functions only.
 
-A document's character classes and common words are compared with its language's reference by Jensen-Shannon distance;
-the references are counted over all documents. Distances of short texts are noise, so each has a guard of least size.
+A document's character classes and common words are compared with its language's reference by Jensen-Shannon distance.
+The references are counted over all other documents that pass the base rules: a document never counts in its own, and where
+the rest of its language has under REFERENCE_WORDS words, that of all languages together stands in. Distances of short
+texts are noise, so each has a guard of least size.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ WORDS_GUARDS = ((20, 0.5), (100, 0.43), (400, 0.32))
 #: (least words, class distance, common-word distance): from this size on, both distances together reject from lower values.
 BOTH_GUARD = (100, 0.16, 0.28)
 WINDOW = 8
+#: Words that a language's other documents need for a reference of its own.
+REFERENCE_WORDS = 20_000
 
 
 def _part(p: Column, q: Column) -> Column:
@@ -75,43 +79,59 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """From measures() of all documents, one row for each of the five languages at most: class shares, and the shares of common words among all words (a map)."""
-    sums = rows.groupBy("language").agg(*(F.sum(f"class{k}").alias(f"c{k}") for k in range(5)), F.sum("n_words").alias("all_words"))
-    total = F.greatest(sum((F.col(f"c{k}") for k in range(5)), F.lit(0)), F.lit(1))
-    sums = sums.select("language", F.array(*(F.col(f"c{k}") / total for k in range(5))).alias("class_share"), "all_words")
-    words = rows.select("language", F.explode("common").alias("word")).groupBy("language", "word").agg(F.count("*").alias("c"))
-    lists = words.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("word", "c"))).alias("l"))  # at most some hundred words
-    empty = F.create_map().cast("map<string,double>")
-    return sums.join(lists, "language", "left").select("language", "class_share", F.coalesce(F.map_from_entries(F.transform("l", lambda x: F.struct(x["word"], x["c"] / F.col("all_words")))), empty).alias("word_share"))
+    """From measures() of all documents, one row for each of the five languages at most, of counts in documents that pass the base rules.
+
+    own and pooled (the language's and those of all): words, classes (an array) and common (a map from word to count).
+    """
+    good = rows.where("not base_failed")
+    sums = good.groupBy("language").agg(*(F.sum(f"class{k}").alias(f"c{k}") for k in range(5)), F.sum("n_words").alias("words"))
+    words = good.select("language", F.explode("common").alias("word")).groupBy("language", "word").agg(F.count("*").alias("c"))
+    empty = F.create_map().cast("map<string,bigint>")
+    # lists of some hundred words at most
+    listed = lambda d, *by: d.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "c")))).alias("common"))
+    shape = lambda name: F.struct("words", F.array(*(f"c{k}" for k in range(5))).alias("classes"), F.coalesce("common", empty).alias("common")).alias(name)
+    own = sums.join(listed(words, "language"), "language", "left").select("language", shape("own"))
+    every = sums.groupBy().agg(F.sum("words").alias("words"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(5)))
+    pooled = every.crossJoin(F.broadcast(listed(words.groupBy("word").agg(F.sum("c").alias("c")).select("word", "c")))).select(shape("pooled"))  # one row each
+    known = rows.select("language").distinct()
+    return known.join(own, "language", "left").crossJoin(F.broadcast(pooled))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """measures() with chars_distance, words_distance (Jensen-Shannon distances from 0 to 1), and kept; other columns of docs stay.
 
     The reference table has five rows at most and is broadcast. A document without words has no distances and fails the
-    base rules. Where a text is below a guard's size, that distance does not count.
+    base rules; one without any other document to compare with has none either, and the base rules alone judge it. Where
+    a text is below a guard's size, that distance does not count.
     """
     rows = written(measures(docs), "quality")
     out = rows.join(F.broadcast(references(rows)), "language")
+    # of a document that passes the base rules its own counts are taken out of the reference
+    mine = lambda c: F.when(F.col("base_failed"), F.lit(0).cast("long")).otherwise(F.col(c))
+    enough = F.coalesce(F.col("own.words") - mine("n_words") >= REFERENCE_WORDS, F.lit(False))
+    out = out.withColumn("reference", F.when(enough, F.col("own")).otherwise(F.col("pooled"))).drop("own", "pooled")
+    out = out.withColumn("rest_words", F.col("reference.words") - mine("n_words"))
+    out = out.withColumn("rest_chars", F.aggregate("reference.classes", F.lit(0).cast("long"), lambda a, x: a + x) - sum((mine(f"class{k}") for k in range(5)), F.lit(0)))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     parts = []
     for k in range(5):
-        p, q = F.col(f"class{k}") / chars, F.col("class_share")[k]
+        p, q = F.col(f"class{k}") / chars, (F.col("reference.classes")[k] - mine(f"class{k}")) / F.col("rest_chars")
         parts += [_part(p, q), _part(q, p)]
-    out = out.withColumn("chars_distance", F.when(F.col("word_chars") > 0, F.sqrt(F.greatest(sum(parts, F.lit(0.0)), F.lit(0.0)))))
+    out = out.withColumn("chars_distance", F.when((F.col("word_chars") > 0) & (F.col("rest_chars") > 0), F.sqrt(F.greatest(sum(parts, F.lit(0.0)), F.lit(0.0)))))
     # bins: each common word, and all other words; a bin that the document lacks adds half of its reference share
-    n, share = F.greatest(F.col("n_words"), F.lit(1)), F.col("word_share")
-    out = out.withColumn("rest_share", F.greatest(1 - F.aggregate(F.map_values(share), F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    n, counts, rest = F.greatest(F.col("n_words"), F.lit(1)), F.col("reference.common"), F.greatest(F.col("rest_words"), F.lit(1))
+    held = F.when(F.col("base_failed"), F.lit(0)).otherwise(F.size("common"))
+    out = out.withColumn("rest_share", F.greatest(1 - (F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, x: a + x) - held) / rest, F.lit(0.0)))
     out = out.withColumn("other_share", 1 - F.size("common") / n).withColumn("kinds", F.array_distinct("common"))
 
     def add(a: Column, w: Column) -> Column:
-        p = (F.size("common") - F.size(F.array_remove("common", w))) / n
-        q = F.coalesce(F.element_at(share, w), F.lit(0.0))
+        own = F.size("common") - F.size(F.array_remove("common", w))
+        p, q = own / n, (F.coalesce(F.element_at(counts, w), F.lit(0)) - F.when(F.col("base_failed"), F.lit(0)).otherwise(own)) / rest
         return F.struct((a["d"] + _part(p, q) + _part(q, p)).alias("d"), (a["q"] + q).alias("q"))
 
     out = out.withColumn("sums", F.aggregate("kinds", F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q")), add))
     divergence = F.col("sums.d") + (1 - F.col("rest_share") - F.col("sums.q")) / 2 + _part(F.col("other_share"), F.col("rest_share")) + _part(F.col("rest_share"), F.col("other_share"))
-    out = out.withColumn("words_distance", F.when(F.col("n_words") > 0, F.sqrt(F.greatest(divergence, F.lit(0.0)))))
+    out = out.withColumn("words_distance", F.when((F.col("n_words") > 0) & (F.col("rest_words") > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))))
     far = F.lit(False)
     for column, size_column, guards in (("chars_distance", "word_chars", CHARS_GUARDS), ("words_distance", "n_words", WORDS_GUARDS)):
         for least, most in guards:
@@ -123,8 +143,8 @@ def judged(docs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, chars_distance, words_distance and kept, one row for each row of docs.
 
-    Nulls: a null text is an empty one, a null or unknown language shares the reference 'other', a null doc_id stays.
-    Repeated rows each give their row and each count in the references; other columns are ignored, whatever their
+    Nulls: a null text is an empty one, a null or unknown language is 'other', a null doc_id stays.
+    Repeated rows each give their row and each count in the others' references; other columns are ignored, whatever their
     names; no rows give no rows. A text is judged whole, whatever its length.
     """
     rows = docs.select("doc_id", "text", "lang")

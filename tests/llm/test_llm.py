@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 from zlib import crc32
 
@@ -112,6 +113,52 @@ def test_quality(spark, docs, texts):
     assert kept.columns == docs.columns and quality_rules.quality(docs.limit(0)).count() == 0
 
 
+def divergence(p, q):
+    """Jensen-Shannon distance of two counts, with logarithms to base 2."""
+    a, b = sum(p.values()), sum(q.values())
+    total = 0.0
+    for k in {*p, *q}:
+        x, y = p.get(k, 0) / a, q.get(k, 0) / b
+        total += sum(v * np.log2(2 * v / (x + y)) / 2 for v in (x, y) if v)
+    return np.sqrt(max(total, 0.0))
+
+
+def test_quality_distances(spark, monkeypatch):
+    """Distances to the counts of the language's other good documents (or of all languages', where those are few), one by one."""
+    monkeypatch.setattr(quality_rules, "REFERENCE_WORDS", 300)
+    rng = random.Random(12)
+    every = {w for v in quality_rules.COMMON.values() for w in v.split()}
+    rows = [(i, " ".join(rng.choices([*quality_rules.COMMON["en"].split()[:9], "Hören", "x1,", "ÉTÉ", "of", "THE", "#5!", "日本"], k=rng.choice([5, 30, 60]))), rng.choice(["en", "en", "en", "de", None, "xx"])) for i in range(60)]
+    rows += [(70, "#$% " * 40, "en"), (71, None, "en"), (72, "only one of its kind " * 1 + " ".join(f"w{k}" for k in range(30)), "fr"), (3, rows[3][1], "en")]
+
+    def classes(t):
+        out = Counter()
+        for c in re.sub(r"[\x20\x09-\x0D]+", "", t or ""):
+            kind = unicodedata.category(c)
+            out["l" if kind == "Ll" else "u" if kind == "Lu" else "d" if kind == "Nd" else "p" if c in ".,;:!?'\"()-" else "o"] += 1
+        return out
+
+    def commons(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        return Counter(x.lower() if x in every or x.lower() in every and x in (x.lower().capitalize(), x.upper()) else " " for x in w)
+
+    language = [x if x in quality_rules.COMMON else "other" for _, _, x in rows]
+    good = [b[0] >= 20 and 100 * b[4] <= 30 * b[0] for b in (base(t) for _, t, _ in rows)]
+    got = quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    by = Counter((r.doc_id, r.n_words, round(r.chars_distance or 0, 9), round(r.words_distance or 0, 9)) for r in got)
+    for i, (doc, t, _) in enumerate(rows):
+        others = [j for j in range(len(rows)) if good[j] and j != i]
+        same = [j for j in others if language[j] == language[i]]
+        if sum(sum(commons(rows[j][1]).values()) for j in same) >= 300:
+            others = same
+        p, q = (sum((f(rows[j][1]) for j in others), Counter()) for f in (classes, commons))
+        n = sum(commons(t).values())
+        expected = (doc, n, round(divergence(classes(t), p), 9) if n else 0, round(divergence(commons(t), q), 9) if n else 0)
+        assert any(k[:2] == expected[:2] and abs(k[2] - expected[2]) < 1e-6 and abs(k[3] - expected[3]) < 1e-6 for k in by), (expected, [k for k in by if k[0] == doc])
+    junk = [(80, " ".join("".join(rng.choices("#$%&*<>|QXZ0987", k=7)) for _ in range(200)), "fr")]
+    assert [r.kept for r in quality_rules.quality(spark.createDataFrame([*rows, *junk], "doc_id long, text string, lang string")).where("doc_id = 80").collect()] == [False]
+
+
 def fingerprint(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
