@@ -37,7 +37,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame:
     Semi-naive: each round joins the newest nodes alone, and drops known ones; rounds are written to the shared folder,
     so a round's cost does not include those before.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = written(edges.select("src", "dst").distinct(), "edges")
     newest = written(roots.select("id").distinct().withColumn("depth", F.lit(0).cast("long")), "reach")
     known, depth = newest, 0
     while not max_depth or depth < max_depth:

@@ -7,11 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions import text as T
+from codeloom.operators.index import Index, build
 from codeloom.tables import read
 
 SYMBOL = r"^\s*(\S+)"
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> Index:
+    """The index over documents, built once an application for each state of the table's files."""
+    docs = read(spark, d, "documents")
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")).alias("h")).first()["h"]
+    key = (spark.sparkContext.applicationId, d, files)
+    if key not in _INDEXES:
+        _INDEXES[key] = build(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+    return _INDEXES[key]
+
+
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """documents as chunks: reachability and semantic role stand in from labels."""
     docs = read(spark, d, "documents")

@@ -36,9 +36,7 @@ def _post(spark, d):
 
 
 def _bm25(spark, d, texts):
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    post = search.postings(docs)
-    return search.bm25(post, search.doc_lengths(docs, post), search.queries(spark, texts))
+    return B.stored_index(spark, d).bm25(texts)
 
 
 @query(f"with {B.POSTINGS} select id, term, tf from post")
@@ -98,7 +96,8 @@ def _ranked(keep: str = "true", language: str = "", path: str = "", weight: str
 
 
 def _search(spark, d, docs=None, **options):
-    docs = B.corpus(spark, d) if docs is None else docs
+    if docs is None:
+        return search.search(B.corpus(spark, d), None, None, TEXTS, hits=B.stored_index(spark, d).bm25(TEXTS), **options).drop("explanation")
     post = search.postings(docs)
     return search.search(docs, post, search.doc_lengths(docs, post), TEXTS, **options).drop("explanation")
 
@@ -148,9 +147,7 @@ _SPARSE = f"with {B.POSTINGS}, {B.asked(TEXTS)}, {B.BM25}, w as (select p.id, p.
 
 
 def _sparse(spark, d):
-    post = _post(spark, d)
-    n = read(spark, d, "documents").agg(F.count("*").alias("n"))
-    return search.sparse_search(search.sparse_weights(post, n), search.queries(spark, TEXTS))
+    return B.stored_index(spark, d).sparse(TEXTS)
 
 
 @query(f"{_SPARSE} {_TOP.format('sp')}")
