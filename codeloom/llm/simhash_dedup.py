@@ -163,19 +163,5 @@ def clusters(docs: DataFrame) -> DataFrame:
     return prints.join(mapping, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one of each component, that of the smallest doc_id (of equal rows, one).
-
-    Rows without a doc_id stay only where their whole component has none, one for each component's fingerprint.
-    """
-    found = clusters(docs).where("doc_id = component_id or component_id is null")
-    ids = found.where("doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi")
-    first = kept.dropDuplicates(["doc_id"])
-    return first.select(docs.columns)
-
-
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(read(spark, sf_dir, "documents"))
-
-

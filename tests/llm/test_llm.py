@@ -201,8 +201,7 @@ def test_simhash(spark, docs, texts, monkeypatch):
     groups = {frozenset(signed[i][0] for i in range(len(many)) if label[i] == k) for k in set(label)}
     for f in found:
         assert {frozenset(k for k in f if f[k] == c) for c in set(f.values())} == {g for g in groups if len(g) > 1}
-    kept = simhash_dedup.representatives(docs)
-    assert kept.columns == docs.columns and simhash_dedup.clusters(docs.limit(0)).count() == 0
+    assert simhash_dedup.clusters(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("common", [6, 2])
