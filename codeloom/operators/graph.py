@@ -98,6 +98,34 @@ def closure(nodes: DataFrame, edges: DataFrame, extra: DataFrame | None = None)
     return reach(resolve(nodes, edges), roots.distinct()).select("id")
 
 
+def query_roots(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """query and id of the nodes that a query names: their name or id equals the query's text when normalized, or all its terms occur in the name or id.
+
+    asked: query, q, terms, a row a query. It is what a caller types, and is broadcast; nodes are read once for all queries.
+    """
+    rows = nodes.select("id", "name").crossJoin(F.broadcast(asked.select("query", T.normalize(F.col("q")).alias("plain"), "terms")))
+    equal = (F.col("plain") != "") & ((T.normalize(F.col("name")) == F.col("plain")) | (T.normalize(F.col("id")) == F.col("plain")))
+    holds = F.forall("terms", lambda t: F.contains(F.lower("name"), t) | F.contains(F.lower("id"), t))
+    return rows.where(equal | (F.size("terms") > 0) & holds).select("query", "id").distinct()
+
+
+def reachable_chunks(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """query and id of the chunks at the line of a node that is reached from the general roots (see is_root) or the query's own; nothing for a query without roots of its own.
+
+    The closure of the general roots is computed once; each query's own adds what its roots reach, all queries in one
+    walk over pairs (query, node).
+    """
+    own = written(query_roots(nodes, asked), "roots")
+    resolved = written(resolve(nodes, edges), "resolved")
+    base = reach(resolved, nodes.where(is_root(F.col("name"), F.col("pkg"), F.col("file"))).select("id")).select("id")
+    pair = lambda c: F.struct("query", F.col(c).alias("id"))
+    steps = resolved.crossJoin(F.broadcast(own.select("query").distinct())).select(pair("src").alias("src"), pair("dst").alias("dst"))
+    mine = reach(steps, own.select(pair("id").alias("id"))).select("id.query", "id.id")
+    every = mine.unionByName(base.crossJoin(F.broadcast(own.select("query").distinct())).select("query", "id")).distinct()
+    at = nodes.join(every, "id").select("query", F.col("file").alias("file_path"), F.col("line").alias("start_line")).distinct()
+    return at.join(chunks.select("id", "file_path", "start_line"), ["file_path", "start_line"]).select("query", "id").distinct()
+
+
 def symbol_search(nodes: DataFrame, query: str) -> DataFrame:
     """Nodes whose name, package or id contains query, whatever the case."""
     q = query.lower()

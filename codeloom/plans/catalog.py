@@ -214,6 +214,8 @@ def resolve_callees(spark, d):
     return graph.resolve(n, calls)
 
 
+_NAMES = ["red", "Brand#11 a"]
+query(f"with {B.SYMBOLS}, {B.asked(_NAMES)}, p as (select query, any_value(regexp_replace(lower(q), '[^a-z0-9]', '', 'g')) as plain, count(*) as n from q group by query) select distinct p.query, id from nodes, p where regexp_replace(lower(name), '[^a-z0-9]', '', 'g') = plain or regexp_replace(lower(id), '[^a-z0-9]', '', 'g') = plain or n = (select count(*) from q where q.query = p.query and (contains(lower(name), term) or contains(lower(id), term)))", "query_roots")(lambda s, d: graph.query_roots(B.symbols(s, d), search.asked_lists(s, _NAMES)))
 query(f"with {B.SYMBOLS} select id, name, pkg from nodes where contains(lower(name), 'red') or contains(lower(pkg), 'red') or contains(lower(id), 'red')", "symbol_search")(lambda s, d: graph.symbol_search(B.symbols(s, d), "Red").select("id", "name", "pkg"))
 query(f"with {B.SYMBOLS}, {B.OWNERSHIP}, {B.IMPORTS} select 'caller' as kind, src as id from edges where dst = 's:5' union all select 'callee', dst from edges where src = 's:5' union all select 'imported_by', pkg from imports where dep = 's:5' union all select 'reference', src from edges where dst = 's:5' union all select 'reference', pkg from imports where dep = 's:5' union all select 'definition', id from nodes where id = 's:5' or (not exists (select 1 from nodes where id = 's:5') and (name = 's:5' or contains(id, 's:5')))", "xref")(lambda s, d: graph.xref(B.symbols(s, d), B.ownership(s, d), B.imports(s, d), "s:5"))
 query(f"with {B.OWNERSHIP} select cast(0 as bigint) as section, src as result from edges where dst = 's:5'", "find_references")(lambda s, d: graph.references(B.symbols(s, d), B.ownership(s, d), B.imports(s, d), "s:5"))
@@ -286,6 +288,8 @@ def _usage(spark, d):
 _USAGE = "usage as (select p_brand as type, case p_size % 3 when 0 then 'param' when 1 then 'return' else 'field' end as role, p_type as \"user\" from part)"
 query(f"with {_USAGE} select distinct role, \"user\" from usage where type = (select min(p_brand) from part)", "type_flow_forward")(lambda s, d: flow.type_forward(_usage(s, d), read(s, d, "part").agg(F.min("p_brand")).first()[0]))
 query(f"with {_USAGE} select type, array_to_string(list_sort(list(distinct \"user\") filter (where role = 'field')), ',') as fields from usage group by type", "type_flow_backward")(lambda s, d: flow.type_nodes(_usage(s, d)).select("type", F.nullif(F.array_join("used_as_field", ","), F.lit("")).alias("fields")))
+_BACK = "select p_type as type, 'field' as role, 'g' || p_size as \"user\" from part where p_size % 2 = 0"
+query(f"with {_USAGE}, u as (select * from usage union all {_BACK}), one as (select distinct \"user\" as parent from u where role = 'field' and type = (select min(p_brand) from part)) select distinct parent, f.\"user\" as grandparent from one left join (select * from u where role = 'field') f on f.type = parent", "type_backward")(lambda s, d: flow.type_backward(_usage(s, d).unionByName(read(s, d, "part").where("p_size % 2 = 0").select(F.col("p_type").alias("type"), F.lit("field").alias("role"), F.concat(F.lit("g"), F.col("p_size").cast("string")).alias("user"))), read(s, d, "part").agg(F.min("p_brand")).first()[0]))
 query(f"with {_USAGE} select distinct type as src, \"user\" as dst, 'type_field' as kind from usage where role = 'field'", "type_edges")(lambda s, d: flow.type_edges(_usage(s, d)))
 query(f"with v as (select p_name as name, p_type as type, p_brand as file, p_partkey as def_line from part), q as (select 'red' as q), t as (select v.*, case when lower(name) = q then 10.0 when contains(lower(name), q) then 5.0 when list_contains({T.sql_terms('name')}, q) then 2.0 else 0.0 end + case when contains(lower(type), q) then 3.0 else 0.0 end + case when regexp_matches(name, '^\\p{{Lu}}') then 1.5 else 0.0 end as score from v, q) select name, type, file, def_line, round(score, 6) as score from (select *, row_number() over (order by score desc, name, file, def_line) as r from t where score > 0) where r <= 10", "variable_search")(lambda s, d: flow.variable_search(read(s, d, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("def_line")), "Red"))
 

@@ -83,7 +83,7 @@ class Engine:
 
     def query(self, kind: str, text: str = "", **options) -> DataFrame:
         """The rows of a query kind: search_code, find_definition, find_references, get_callers, get_callees, impact_analysis,
-        get_context_pack, read_snippet, trace_variable, function_dataflow, type_flow, variable_search, rag_status. Raises ValueError on others.
+        get_context_pack, read_snippet, reachable_chunks, trace_variable, function_dataflow, type_flow, variable_search, rag_status. Raises ValueError on others.
         """
         found = getattr(self, f"_{kind}", None) if kind in KINDS else None
         if found is None:
@@ -99,7 +99,12 @@ class Engine:
 
     def _search_code(self, text: str, top_k: int = 10, language: str = "", path: str = "") -> DataFrame:
         rows, post, lengths = (self.store.table(t) for t in ("chunks", "postings", "lengths"))
-        return search.search(rows, post, lengths, [text], k=bounded(top_k, TOP_K), language=language, path=path, pruning="off" if self.pruning == "off" else "soft")
+        near = None if self.pruning == "off" else self._reachable_chunks(text).withColumn("query", F.lit(0))
+        return search.search(rows, post, lengths, [text], k=bounded(top_k, TOP_K), language=language, path=path, pruning="off" if self.pruning == "off" else "soft", reachable=near, variables=self.store.table("variables"))
+
+    def _reachable_chunks(self, text: str) -> DataFrame:
+        """id of the chunks that are reached when the nodes that text names count as roots besides; none where it names none."""
+        return graph.reachable_chunks(self.store.table("chunks"), self.store.table("nodes"), self.edges(), search.asked_lists(self.spark, [text])).select("id")
 
     def _find_definition(self, text: str) -> DataFrame:
         return graph.definitions(self.store.table("chunks"), self.store.table("nodes"), text)

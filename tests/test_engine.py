@@ -55,6 +55,10 @@ def test_engine(spark, tmp_path):
     assert e.sync(str(src)) == {"indexed": 3, "deleted": 0, "failed": 1}
     assert e.sync(str(src)) == {"indexed": 0, "deleted": 0, "failed": 0}
     assert e.query("search_code", "helper session").orderBy("rank").first().symbol_name == "helper"
+    spared = {r.symbol_name: r for r in e.query("search_code", "dead").collect()}["dead"]
+    assert "skip_unreachable_penalty" in spared.explanation and e.query("reachable_chunks", "nobody").count() == 0
+    assert {r.id for r in e.query("reachable_chunks", "dead").collect()} == {r.id for r in e.store.table("chunks").where("file_path = 'main.go'").collect()}
+    assert "boost variable=0.5000" in {r.symbol_name: r.explanation for r in e.query("search_code", "session").collect()}["helper"]
     assert [r.id for r in e.query("get_callers", "helper").orderBy("id").collect()] == ["main.dead", "main.live"]
     assert {r.symbol_name: r.reachability for r in e.store.table("chunks").where("file_path = 'main.go'").collect()} == {"main": "reachable", "live": "reachable", "helper": "reachable", "dead": "unreachable"}
     assert e.text("get_callers", "nobody") == "no callers found" and "[class] UserService" in e.text("find_definition", "UserService")

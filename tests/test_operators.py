@@ -77,6 +77,16 @@ def test_graph(spark):
     assert label == {"1": "reachable", "9": "unreachable"}
 
 
+def test_query_roots(spark):
+    nodes = spark.createDataFrame([("p.open", "p", "open", "", "a.go", 1), ("p.read", "p", "read", "", "a.go", 5), ("p.lost", "p", "lost", "", "a.go", 9), ("main.main", "main", "main", "", "m.go", 1)], "id string, pkg string, name string, recv string, file string, line int")
+    calls = spark.createDataFrame([("p.open", "read"), ("p.read", "open")], "src string, dst string")
+    chunks = spark.createDataFrame([("c1", "a.go", 1), ("c5", "a.go", 5), ("c9", "a.go", 9), ("m1", "m.go", 1), ("m1b", "m.go", 1)], "id string, file_path string, start_line int")
+    asked = search.asked_lists(spark, ["P.Open", "lost", "lost open", "elsewhere", "p"])
+    assert {tuple(r) for r in graph.query_roots(nodes, asked).collect()} == {(0, "p.open"), (1, "p.lost")}
+    got = {tuple(r) for r in graph.reachable_chunks(chunks, nodes, calls, asked).collect()}
+    assert got == {(0, "c1"), (0, "c5"), (0, "m1"), (0, "m1b"), (1, "c9"), (1, "m1"), (1, "m1b")}
+
+
 def test_context_and_snippet(spark):
     rows = spark.createDataFrame([("p", 0, "a" * 300), ("p", 1, "b")], "pack string, prio long, text string")
     got = C.context_pack(rows, 220).first()
@@ -93,7 +103,7 @@ def test_maintenance_and_flow(spark):
     assert {tuple(r) for r in flow.innermost(defs, uses).collect()} == {("u4", "d1"), ("u7", "d0")}
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "search_ranked", "hybrid_rrf", "resolve_callees", "impact_full", "reachability", "context_pack", "innermost_def", "latency_percentiles", "source_declarations", "source_call_graph", "source_chunks", "source_def_use"])
+@pytest.mark.parametrize("name", ["bm25_topk", "search_ranked", "hybrid_rrf", "resolve_callees", "impact_full", "reachability", "context_pack", "innermost_def", "query_roots", "type_backward", "latency_percentiles", "source_declarations", "source_call_graph", "source_chunks", "source_def_use"])
 def test_queries_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     d, con = "/root/testdata/sf0.001", duckdb.connect()
