@@ -233,8 +233,9 @@ def find_definition(spark, d):
 
 
 _MEANING = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12))), lambda x: x <> '' and not starts_with(x, '//'))"
+_FIELDS = f"list_filter({_MEANING}, lambda x: x not in ('{{', '}}') and not starts_with(x, 'type ') and not starts_with(x, 'struct'))"
 query(f"select doc_id, cast(len({_MEANING}) as bigint) as n_lines from documents", "meaningful_lines")(lambda s, d: read(s, d, "documents").select("doc_id", F.size(T.meaningful(F.col("text"))).cast("long").alias("n_lines")))
-query(f"select doc_id, len({_MEANING}) >= 8 and regexp_matches(lower(lang), 'en') as large from documents", "large_dto")(lambda s, d: read(s, d, "documents").select("doc_id", ((F.size(C.field_lines(F.col("text"))) >= 8) & F.lower("lang").rlike("en")).alias("large")))
+query(f"select doc_id, doc_id % 2 = 0 and len({_FIELDS}) >= 8 and (len(list_filter({_FIELDS}, lambda x: contains(x, '`json:') or contains(x, '`db:') or contains(x, '`yaml:'))) >= floor(len({_FIELDS}) / 2) or doc_id % 3 = 0) as large from documents", "large_dto")(lambda s, d: read(s, d, "documents").select("doc_id", C.is_large_dto(F.when(F.col("doc_id") % 2 == 0, "5").otherwise("4"), F.when(F.col("doc_id") % 3 == 0, "UserDTO").otherwise("User"), F.col("text")).alias("large")))
 query("select page_id, contains(lower(html), 'code generated') and contains(lower(html), 'do not edit') as generated from pages", "generated_detect")(lambda s, d: read(s, d, "pages").select("page_id", C.is_generated(F.col("html")).alias("generated")))
 query(f"select doc_id, case when trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' then '' when contains(lower(text), 'code generated') and contains(lower(text), 'do not edit') then 'generated_code' when len({_MEANING}) <= 3 then 'trivial_declaration' else '' end as fold_reason from documents", "fold_classify")(lambda s, d: read(s, d, "documents").select("doc_id", F.col("text").alias("content"), F.lit("x").alias("symbol_name"), F.lit("3").alias("chunk_type"), F.lit("").alias("signature"), F.lit("a.go").alias("file_path")).select("doc_id", C.fold_reason().alias("fold_reason")))
 query(f"with {B.TURNS} select id, lag(id) over w as previous, lead(id) over w as next from turns window w as (partition by file_path order by start_line, end_line, id)", "neighbors_lag_lead")(lambda s, d: C.neighbours(B.turns(s, d)))
