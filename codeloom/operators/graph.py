@@ -116,6 +116,8 @@ def reachable_chunks(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, aske
     walk over pairs (query, node).
     """
     own = written(query_roots(nodes, asked), "roots")
+    if own.isEmpty():  # the usual case of a query in plain words: no closure is needed
+        return own.select("query", F.col("id").cast(chunks.schema["id"].dataType).alias("id"))
     resolved = written(resolve(nodes, edges), "resolved")
     base = reach(resolved, nodes.where(is_root(F.col("name"), F.col("pkg"), F.col("file"))).select("id")).select("id")
     pair = lambda c: F.struct("query", F.col(c).alias("id"))
