@@ -124,12 +124,11 @@ def judged(docs: DataFrame) -> DataFrame:
     out = out.withColumn("rest_share", F.greatest(1 - (F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, x: a + x) - held) / rest, F.lit(0.0)))
     out = out.withColumn("other_share", 1 - F.size("common") / n).withColumn("kinds", F.array_distinct("common"))
 
-    def add(a: Column, w: Column) -> Column:
-        own = F.size("common") - F.size(F.array_remove("common", w))
-        p, q = own / n, (F.coalesce(F.element_at(counts, w), F.lit(0)) - F.when(F.col("base_failed"), F.lit(0)).otherwise(own)) / rest
-        return F.struct((a["d"] + _part(p, q) + _part(q, p)).alias("d"), (a["q"] + q).alias("q"))
-
-    out = out.withColumn("sums", F.aggregate("kinds", F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q")), add))
+    # own and reference counts first, then shares, then sums: a lambda's expressions are computed again wherever they stand
+    held_own = lambda c: F.when(F.col("base_failed"), F.lit(0)).otherwise(c)
+    out = out.withColumn("kinds", F.transform("kinds", lambda w: F.struct((F.size("common") - F.size(F.array_remove("common", w))).alias("own"), F.coalesce(F.element_at(counts, w), F.lit(0)).alias("all"))))
+    out = out.withColumn("kinds", F.transform("kinds", lambda x: F.struct((x["own"] / n).alias("p"), ((x["all"] - held_own(x["own"])) / rest).alias("q"))))
+    out = out.withColumn("sums", F.aggregate("kinds", F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["d"] + _part(x["p"], x["q"]) + _part(x["q"], x["p"])).alias("d"), (a["q"] + x["q"]).alias("q"))))
     divergence = F.col("sums.d") + (1 - F.col("rest_share") - F.col("sums.q")) / 2 + _part(F.col("other_share"), F.col("rest_share")) + _part(F.col("rest_share"), F.col("other_share"))
     out = out.withColumn("words_distance", F.when((F.col("n_words") > 0) & (F.col("rest_words") > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))))
     far = F.lit(False)
