@@ -95,3 +95,41 @@ def sql_terms(text: str, stopwords: list[str] = CODE_STOPWORDS) -> str:
     every = f"list_concat(list_concat([w], {parts}), flatten(list_transform({parts}, lambda p: string_split({sql_split('p')}, ' '))))"
     one = f"list_distinct(list_filter(list_transform({every}, lambda x: lower(trim(x, '._-/\\'))), lambda x: strlen(x) > 1))"
     return f"list_filter(flatten(list_transform(regexp_extract_all(coalesce({text}, ''), '{RAW}'), lambda w: {one})), lambda x: x not in ({stop}))"
+
+
+def package_of(path: Column) -> Column:
+    """The folder that holds a file of a clean path; main for none."""
+    folder = F.regexp_extract(path, r"([^/]+)/+[^/]*$", 1)
+    return F.when(folder.isin("", ".", ".."), F.when(F.startswith(path, F.lit("/")), "/").otherwise("main")).otherwise(folder)
+
+
+def def_id(pkg: Column, file: Column, line: Column, name: Column) -> Column:
+    return F.concat(pkg, F.lit("."), file, F.lit(":"), line.cast("string"), F.lit(":"), name)
+
+
+def use_id(definition: Column, kind: Column) -> Column:
+    return F.concat(definition, F.lit(":"), use_kind(kind))
+
+
+def rfc3339(ts: Column) -> Column:
+    """A time in the session's zone."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def duration(micros: Column) -> Column:
+    """Whole microseconds as text: '< 1µs', '12µs', and from a millisecond on hours, minutes, seconds to the millisecond."""
+    ms = F.round(micros / 1000).cast("long")
+    part = lambda c: F.floor(c).cast("string")
+    left = F.rtrim(F.lpad((ms % 1000).cast("string"), 3, "0"), F.lit("0"))
+    seconds = F.concat(part(ms % 60_000 / 1000), F.when(left != "", F.concat(F.lit("."), left)).otherwise(""), F.lit("s"))
+    minutes = F.when(ms >= 60_000, F.concat(part(ms % 3_600_000 / 60_000), F.lit("m"))).otherwise("")
+    hours = F.when(ms >= 3_600_000, F.concat(part(ms / 3_600_000), F.lit("h"))).otherwise("")
+    long = F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.concat(hours, minutes, seconds))
+    return F.when(micros < 1, "< 1µs").when(micros < 1000, F.concat(micros.cast("string"), F.lit("µs"))).otherwise(long)
+
+
+def index_summary(mode: Column, indexed: Column, deleted: Column, updated: Column) -> Column:
+    """What the last sync did; 'unavailable' where nothing is known."""
+    named = F.when(F.coalesce(mode, F.lit("")) == "", "unknown").otherwise(mode)
+    none = (F.coalesce(mode, F.lit("")) == "") & (indexed == 0) & (deleted == 0) & updated.isNull()
+    return F.when(none, "unavailable").otherwise(F.concat(named, F.lit(": indexed="), indexed.cast("string"), F.lit(" deleted="), deleted.cast("string"), F.lit(" updated_at="), F.coalesce(rfc3339(updated), F.lit(""))))

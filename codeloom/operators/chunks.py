@@ -159,3 +159,8 @@ def snippet(chunks: DataFrame, location: str) -> DataFrame:
     lines = rows.select("start_line", "end_line", "id", F.posexplode(F.split("content", "\n")).alias("pos", "text")).withColumn("line", F.col("start_line") + F.col("pos")).where(F.col("line").between(a, b))
     w = Window.partitionBy("line").orderBy("start_line", "end_line", "id")
     return lines.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("line").cast("long").alias("line"), "text")
+
+
+def by_file(chunks: DataFrame, path: str) -> DataFrame:
+    """The chunks of a file in their order."""
+    return chunks.where(F.col("file_path") == path).orderBy("start_line", "end_line", "id")

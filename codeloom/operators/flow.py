@@ -118,3 +118,42 @@ def function_flow(variables: DataFrame, uses: DataFrame, func: str) -> DataFrame
     own = F.when(F.col("scope") == 1, "input").when(F.col("scope") == 2, "side_effect").otherwise("internal")
     first = rows.select(own.alias("section"), "name", "n_uses")
     return first.unionByName(rows.where("returned = 1").select(F.lit("output").alias("section"), "name", "n_uses"))
+
+
+def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with equal keys the first by order; order must tell them apart for a defined result."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("seen", F.row_number().over(w)).where("seen = 1").drop("seen")
+
+
+def variables_named(variables: DataFrame, part: str) -> DataFrame:
+    """Variables (pkg, name, file, def_line) whose name holds part in any case, the first of each pkg, name and file."""
+    return first_seen(variables.where(F.contains(F.lower("name"), F.lit(part.lower()))), ["pkg", "name", "file"], ["def_line"])
+
+
+def lookup_index(variables: DataFrame) -> DataFrame:
+    """kind (name, type, func or file), key and def_id: the four multimaps of variables as one relation, for lookups by equality.
+
+    Rows instead of arrays, so that a key that a third of all variables share is no single value.
+    """
+    entry = lambda kind, column: F.struct(F.lit(kind).alias("kind"), F.col(column).cast("string").alias("key"))
+    entries = F.explode(F.array(entry("name", "name"), entry("type", "type"), entry("func", "func_id"), entry("file", "file")))
+    return variables.select(entries.alias("e"), "def_id").select("e.kind", "e.key", "def_id").where("key is not null").distinct()
+
+
+def lookup(index: DataFrame, kind: str, key: str) -> DataFrame:
+    return index.where((F.col("kind") == kind) & (F.col("key") == key)).select("def_id")
+
+
+def usage_counts(uses: DataFrame) -> DataFrame:
+    """func_id, name, n_uses and first_return (least line of a return use, null for none) of uses (func_id, name, kind, line)."""
+    return uses.groupBy("func_id", "name").agg(F.count("*").alias("n_uses"), F.min(F.when(F.col("kind") == 3, F.col("line"))).alias("first_return"))
+
+
+def counters(**relations: DataFrame) -> DataFrame:
+    """One row: <name>_count for each relation."""
+    parts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in relations.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(f"{name}_count") for name in relations))

@@ -165,3 +165,8 @@ def definitions(chunks: DataFrame, nodes: DataFrame, symbol: str) -> DataFrame:
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
+
+
+def sorted_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes by id: a range-partitioned sort."""
+    return nodes.orderBy("id", "file", "line")

@@ -83,3 +83,8 @@ def status(counts: dict[str, DataFrame], version: str = "0.1") -> DataFrame:
         out = one if out is None else out.crossJoin(one)
     first = next(iter(counts))
     return out.withColumn("version", F.lit(version)).withColumn("ready", F.col(first) > 0)
+
+
+def trace_runtime(events: DataFrame, text: str) -> DataFrame:
+    """Recorded events (seq, func_id, var_name, ...) of a function, if text holds a dot, else of a variable, in order."""
+    return (events_of(events, func_id=text) if "." in text else events_of(events, var_name=text)).orderBy("seq")
