@@ -57,9 +57,12 @@ def df_idf(spark, d):
     return search.term_stats(post, search.doc_stats(search.doc_lengths(docs, post))).select("term", "df", F.round("idf", 6).alias("idf"), "stop")
 
 
-@query(f"with {B.POSTINGS} select term, df from idf where stop")
+_EVERYWHERE = B.POSTINGS.replace("from documents", "from marked")
+
+
+@query(f"with marked as (select doc_id, case when doc_id % 10 < 9 then text || ' everywhere' else text end as text from documents), {_EVERYWHERE} select term, df from idf where stop")
 def stop_terms(spark, d):
-    docs = B.corpus(spark, d)
+    docs = B.corpus(spark, d).withColumn("content", F.when(F.col("id") % 10 < 9, F.concat("content", F.lit(" everywhere"))).otherwise(F.col("content")))
     post = search.postings(docs)
     return search.term_stats(post, search.doc_stats(search.doc_lengths(docs, post))).where("stop").select("term", "df")
 
@@ -203,7 +206,8 @@ query(f"{_reach(B.OWNERSHIP, 'edges', 's:5', 'src', 'dst', 2, 'downstream')} uni
 query(_reach(B.IMPORTS, "imports", "/the", "dep", "pkg", 3, "downstream"), "package_impact")(lambda s, d: graph.package_impact(B.imports(s, d), "/the", 3))
 _CLOSED = f"with recursive {B.STEPS}, r(id) as (select distinct src from steps where src like '%.signup' union select dst from r join steps on src = r.id)"
 query(f"{_CLOSED} select id from r", "reachability")(lambda s, d: graph.reach(e := B.steps(s, d), e.where("src like '%.signup'").select(F.col("src").alias("id"))).select("id"))
-query(f"{_CLOSED} select distinct src as id from steps where src not in (select id from r)", "unreachable")(lambda s, d: (e := B.steps(s, d)).select(F.col("src").alias("id")).distinct().join(graph.reach(e, e.where("src like '%.signup'").select(F.col("src").alias("id"))), "id", "left_anti"))
+_EVEN = _CLOSED.replace("like '%.signup'", "like '%.signup' and cast(split_part(src, '.', 1) as bigint) % 2 = 0")
+query(f"{_EVEN} select distinct src as id from steps where src not in (select id from r)", "unreachable")(lambda s, d: (e := B.steps(s, d)).select(F.col("src").alias("id")).distinct().join(graph.reach(e, e.where("src like '%.signup' and cast(split_part(src, '.', 1) as bigint) % 2 = 0").select(F.col("src").alias("id"))), "id", "left_anti"))
 _CALLS = "calls as (select a.id as src, split_part(b.id, '.', 2) as dst from nodes a join nodes b on b.line = a.line + 1)"
 
 
@@ -241,7 +245,8 @@ query(f"select doc_id, case when trim(text, ' ' || chr(9) || chr(10) || chr(13))
 query(f"with {B.TURNS} select id, lag(id) over w as previous, lead(id) over w as next from turns window w as (partition by file_path order by start_line, end_line, id)", "neighbors_lag_lead")(lambda s, d: C.neighbours(B.turns(s, d)))
 _PACK = f"with {B.TURNS}, s as (select file_path as pack, start_line as prio, content as text, sum(strlen(content) + case when start_line > 0 then 2 else 0 end) over (partition by file_path order by start_line) as used from turns where content <> '')"
 query(f"{_PACK} select pack, string_agg(text, chr(10) || chr(10) order by prio) as context, count(*) as n_sections from s group by pack", "context_pack")(lambda s, d: C.context_pack(B.turns(s, d).select(F.col("file_path").alias("pack"), F.col("start_line").cast("long").alias("prio"), F.col("content").alias("text")), 0))
-query(f"{_PACK} select pack, string_agg(case when prio = 0 and used > 100000 then text else text end, chr(10) || chr(10) order by prio) as context, count(*) as n_sections from s where used <= 100000 or prio = 0 group by pack", "context_budget")(lambda s, d: C.context_pack(B.turns(s, d).select(F.col("file_path").alias("pack"), F.col("start_line").cast("long").alias("prio"), F.col("content").alias("text")), 100000))
+_BUDGET = 300
+query(f"{_PACK} select pack, string_agg(case when used > {_BUDGET} then substring(text, 1, {_BUDGET - len(C.MARKER)}) || '{C.MARKER}' else text end, chr(10) || chr(10) order by prio) as context, count(*) as n_sections from s where used <= {_BUDGET} or prio = 0 group by pack", "context_budget")(lambda s, d: C.context_pack(B.turns(s, d).select(F.col("file_path").alias("pack"), F.col("start_line").cast("long").alias("prio"), F.col("content").alias("text")), _BUDGET))
 query(f"with {B.OWNERSHIP} select src, array_to_string(list_slice(list_sort(list(dst)), 1, 12), ',') as related from edges group by src", "related_top12")(lambda s, d: B.ownership(s, d).groupBy("src").agg(F.array_join(F.slice(F.sort_array(F.collect_set("dst")), 1, 12), ",").alias("related")))
 query(f"with {B.TURNS} select cast(start_line as bigint) as line, string_split(content, chr(10))[1] as text from turns where file_path = 'conv/3' and start_line between 1 and 4 and len(string_split(content, chr(10))) >= 1", "read_snippet_first_lines")(lambda s, d: B.turns(s, d).where("file_path = 'conv/3' and start_line between 1 and 4").select(F.col("start_line").cast("long").alias("line"), F.element_at(F.split("content", "\n"), 1).alias("text")))
 query("select cast(i.i as bigint) as line, string_split(text, chr(10))[i.i] as text from documents, range(2, 5) i(i) where doc_id = 0 and len(string_split(text, chr(10))) >= i.i", "read_snippet")(lambda s, d: C.snippet(read(s, d, "documents").where("doc_id = 0").select(F.col("doc_id").alias("id"), F.lit("doc0").alias("file_path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.col("text").alias("content")), "doc0:2-4"))

@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from codeloom.tables import written
 #: Default and greatest value of each bounded argument.
 TOP_K, IMPACT_DEPTH, TRACE_DEPTH, VARIABLES = (10, 200), (3, 10), (5, 20), (10, 100)
 NOTHING = {"find_definition": "no definition found", "get_callers": "no callers found", "get_callees": "no callees found", "impact_analysis": "no impact detected"}
+#: The one row that tells of the last sync.
+META = "mode string, indexed long, deleted long, updated_at timestamp"
 
 
 def bounded(value: int, limits: tuple[int, int]) -> int:
@@ -62,6 +66,7 @@ class Engine:
                 "uses": (code.uses(rows), ["use_id"]),
             },
             deletes=deletes,
+            replace={"meta": self.spark.createDataFrame([("full" if full else "incremental", counts["indexed"], counts["deleted"], datetime.datetime.now(datetime.UTC))], META)},
         )
         self.refresh()
         return counts
@@ -83,7 +88,8 @@ class Engine:
 
     def query(self, kind: str, text: str = "", **options) -> DataFrame:
         """The rows of a query kind: search_code, find_definition, find_references, get_callers, get_callees, impact_analysis,
-        get_context_pack, read_snippet, reachable_chunks, trace_variable, function_dataflow, type_flow, variable_search, rag_status. Raises ValueError on others.
+        get_context_pack, read_snippet, reachable_chunks, trace_variable, function_dataflow, type_flow, variable_search,
+        variable_lookup, trace_runtime, reindex, rag_status. Raises ValueError on others.
         """
         found = getattr(self, f"_{kind}", None) if kind in KINDS else None
         if found is None:
@@ -162,10 +168,33 @@ class Engine:
         used = uses.where(F.col("func_id") == text).join(vars_.where("scope = 2").select("def_id", "scope"), "def_id").select("name", "scope", "func_id")
         return flow.function_flow(vars_.select("name", "scope", "func_id").unionByName(used), uses, text)
 
+    def _variable_lookup(self, text: str, by: str = "name") -> DataFrame:
+        """Variables whose name, type, func or file equals text."""
+        rows = self.store.table("variables").withColumnRenamed("func_id", "func")
+        if by not in ("name", "type", "func", "file"):
+            raise ValueError(f"unknown lookup {by!r}")
+        return rows.where(F.col(by) == text)
+
+    def _trace_runtime(self, text: str) -> DataFrame:
+        """Recorded events of the function (with a dot) or variable text, from the stored table trace_events; none where nothing was recorded."""
+        events = self.store.table("trace_events")
+        if events is None:
+            events = self.spark.createDataFrame([], "seq long, func_id string, event_type string, var_name string, value string")
+        return maintenance.trace_runtime(events, text)
+
+    def _reindex(self, text: str, full: bool = True) -> DataFrame:
+        """Index the tree text anew (or what changed there); one row of counts."""
+        counts = self.sync(text, full=full)
+        return self.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+
     def _rag_status(self, text: str = "") -> DataFrame:
         empty = self.spark.createDataFrame([], "id string")
-        tables = {"chunks": "chunks", "graph_nodes": "nodes", "graph_edges": "edges", "files": "files"}
-        return maintenance.status({k: empty if (t := self.store.table(v)) is None else t for k, v in tables.items()})
+        tables = {"chunks": "chunks", "graph_nodes": "nodes", "graph_edges": "edges", "files": "files", "variables": "variables", "uses": "uses"}
+        counts = maintenance.status({k: empty if (t := self.store.table(v)) is None else t for k, v in tables.items()})
+        meta = self.store.table("meta")
+        if meta is None:
+            meta = self.spark.createDataFrame([("", 0, 0, None)], META)
+        return counts.crossJoin(meta.select(T.index_summary(F.col("mode"), F.col("indexed"), F.col("deleted"), F.col("updated_at")).alias("last_index")))  # one row each
 
 
 KINDS = {name[1:] for name in vars(Engine) if name.startswith("_") and not name.startswith("__")}

@@ -100,3 +100,25 @@ def test_text_gives_every_row(spark, monkeypatch):
     engine = Engine.__new__(Engine)
     monkeypatch.setattr(engine, "query", lambda kind, text, **options: spark.range(1500).selectExpr("cast(id as string) id"), raising=False)
     assert len(engine.text("get_callers", "hot").split("\n")) == 1500
+
+
+def test_meta_lookup_and_command_line(spark, tmp_path, capsys):
+    from codeloom.__main__ import main
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "main.go").write_text(MAIN)
+    store = Store(spark, str(tmp_path / "store"))
+    e = Engine(store)
+    assert e.query("rag_status").first().last_index == "unavailable"
+    assert tuple(e.query("reindex", str(tmp_path / "src")).first()) == (1, 0, 0)
+    assert e.query("rag_status").first().last_index.startswith("full: indexed=1 deleted=0 updated_at=20")
+    assert e.query("variable_lookup", "session").count() == 1 and e.query("variable_lookup", "main.helper", by="func").count() == 1
+    with pytest.raises(ValueError):
+        e.query("variable_lookup", "x", by="colour")
+    assert e.query("trace_runtime", "main.live").count() == 0
+    store.commit(replace={"trace_events": spark.createDataFrame([(2, "main.live", "exit", ""), (1, "main.live", "enter", ""), (3, "main.dead", "assign", "x")], "seq long, func_id string, event_type string, var_name string")})
+    assert [r.seq for r in e.query("trace_runtime", "main.live").collect()] == [1, 2] and [r.seq for r in e.query("trace_runtime", "x").collect()] == [3]
+    assert main(["--repo", str(tmp_path / "src"), "--db", str(tmp_path / "cli"), "get_callers", "helper"]) == 0
+    shown = capsys.readouterr()
+    assert "indexed=1" in shown.err and shown.out == "1. main.dead\n2. main.live\n"
+    assert main(["no_such_kind"]) == 2

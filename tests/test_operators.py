@@ -125,3 +125,16 @@ def test_whole_in_edges_and_dependencies(spark):
     for whole, summary, key, n in (("caller_pairs", "reverse_adjacency", "id", "n_callers"), ("dependency_pairs", "dependencies", "pkg", "n_deps")):
         counts = {r[key]: r["count"] for r in queries[whole](spark, d).groupBy(key).count().collect()}
         assert counts == {r[key]: r[n] for r in queries[summary](spark, d).collect()} and max(counts.values()) > 1
+
+
+def test_formats_and_lookups(spark):
+    micros = {0: "< 1µs", 7: "7µs", 999: "999µs", 1499: "1ms", 999_600: "1s", 1_230_000: "1.23s", 65_000_000: "1m5s", 3_600_000_000: "1h0m0s"}
+    assert {r.us: r.shown for r in spark.createDataFrame([(u,) for u in micros], "us long").select("us", T.duration(F.col("us")).alias("shown")).collect()} == micros
+    folders = {"a.go": "main", "x/a.go": "x", "x/y/a.go": "y", "./a.go": "main", "/a.go": "/"}
+    assert {r.p: r.pkg for r in spark.createDataFrame([(p,) for p in folders], "p string").select("p", T.package_of(F.col("p")).alias("pkg")).collect()} == folders
+    v = spark.createDataFrame([("1", "p", "Total", "int", "p.f", "a.go", 9), ("2", "p", "Total", "int", "p.g", "a.go", 4), ("3", "p", "other", None, "p.f", "b.go", 1)], "def_id string, pkg string, name string, type string, func_id string, file string, def_line int")
+    assert [r.def_id for r in flow.variables_named(v, "tot").collect()] == ["2"]
+    index = flow.lookup_index(v)
+    assert index.count() == 11 and {r.def_id for r in flow.lookup(index, "func", "p.f").collect()} == {"1", "3"}
+    sparse = search.sparse_postings(spark.createDataFrame([("d", {"a": 0.5, "b": 0.0})], "id string, weights map<string,double>"))
+    assert [tuple(r) for r in sparse.collect()] == [("d", "a", 0.5)]
