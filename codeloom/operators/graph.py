@@ -74,14 +74,16 @@ def add_imports(files: DataFrame, dotted: bool = False) -> DataFrame:
 def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges (src, dst) with callees resolved to node ids: an exact id, else the caller's package with the name, or with its last selector.
 
-    Equi-joins on id and on (package, name) replace a scan of all nodes for each edge.
+    Equi-joins on id and on (package, name) replace a scan of all nodes for each edge. Only distinct nodes are joined, as
+    repeated ones would multiply rows; and never by a broadcast, as a file's size tells little of the nodes in it.
     """
-    ids = nodes.select(F.col("id").alias("dst"), F.lit(True).alias("known"))
-    tried = edges.select("src", "dst").where("dst <> '' and dst <> '<anonymous>'").distinct().join(ids, "dst", "left")
+    keys = lambda *c: nodes.select(*c).distinct().hint("merge")
+    ids = keys(F.col("id").alias("dst"))
+    tried = edges.select("src", "dst").where("dst <> '' and dst <> '<anonymous>'").distinct().join(ids.withColumn("known", F.lit(True)), "dst", "left")
     exact = tried.where("known").select("src", "dst")
-    rest = tried.where("known is null").join(nodes.select(F.col("id").alias("src"), "pkg"), "src")
-    local = rest.select("src", F.concat("pkg", F.lit("."), "dst").alias("dst")).join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    named = rest.select("src", "pkg", T.last_selector(F.col("dst")).alias("name")).where("name <> ''").join(nodes.select("pkg", "name", F.col("id").alias("dst")), ["pkg", "name"]).select("src", "dst")
+    rest = tried.where("known is null").join(keys(F.col("id").alias("src"), "pkg"), "src")
+    local = rest.select("src", F.concat("pkg", F.lit("."), "dst").alias("dst")).join(ids, "dst", "left_semi")
+    named = rest.select("src", "pkg", T.last_selector(F.col("dst")).alias("name")).where("name <> ''").distinct().join(keys("pkg", "name", F.col("id").alias("dst")), ["pkg", "name"]).select("src", "dst")
     return exact.unionByName(local.select("src", "dst")).unionByName(named).distinct()
 
 

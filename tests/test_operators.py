@@ -138,3 +138,14 @@ def test_formats_and_lookups(spark):
     assert index.count() == 11 and {r.def_id for r in flow.lookup(index, "func", "p.f").collect()} == {"1", "3"}
     sparse = search.sparse_postings(spark.createDataFrame([("d", {"a": 0.5, "b": 0.0})], "id string, weights map<string,double>"))
     assert [tuple(r) for r in sparse.collect()] == [("d", "a", 0.5)]
+
+
+def test_resolve_repeated_nodes(spark, tmp_path):
+    node = [("p.A", "p", "A"), ("p.run", "p", "run")]
+    rows = [(*n, "", "a.go", i) for i in range(1000) for n in node]
+    spark.createDataFrame(rows, "id string, pkg string, name string, recv string, file string, line int").write.parquet(f"{tmp_path}/nodes")
+    calls = spark.createDataFrame([("p.A", "run"), ("p.A", "t.run"), ("p.run", "p.A")] * 5, "src string, dst string")
+    found = graph.resolve(spark.read.parquet(f"{tmp_path}/nodes"), calls)
+    assert sorted(map(tuple, found.collect())) == [("p.A", "p.run"), ("p.run", "p.A")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan  # files of repeated nodes are small, whatever the number of nodes
