@@ -149,3 +149,21 @@ def test_resolve_repeated_nodes(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [("p.A", "p.run"), ("p.run", "p.A")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan  # files of repeated nodes are small, whatever the number of nodes
+
+
+def test_cosine_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "ASKED", 3)
+    monkeypatch.setattr(search, "MET", 7)
+    words = [[f"t{k % 5}", f"u{i % (k + 2)}", *([f"rare{i // 2}"] if k % 3 else [])] for k in range(6) for i in range(8)]
+    rows = [(i, t, 1.0 + (i * 7 + len(t)) % 4) for i, ts in enumerate(words) for t in ts] + [(None, "t1", 1.0), (99, "alone", 2.0)]
+    weights = spark.createDataFrame(rows, "id long, term string, w double")
+    found = search.cosine_to(weights, F.col("id") % 5 == 0)
+    got = {(r.id_a, r.id_b): r.cosine for r in found.collect()}
+    vector = {}
+    for i, t, w in rows:
+        vector.setdefault(i, {})[t] = w
+    size = lambda v: sum(w * w for w in v.values()) ** 0.5
+    want = {(a, b): sum(w * y[t] for t, w in x.items() if t in y) / (size(x) * size(y)) for a, x in vector.items() for b, y in vector.items() if a is not None and b is not None and a != b and a % 5 == 0 and x.keys() & y.keys()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and len(got) == found.count()
+    # the terms that two documents share make no rows: no join, whose output would grow with them
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
