@@ -1,9 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles (method: prefix filtering with exact checks).
+"""Near-duplicates by the Jaccard similarity of five-word shingles (method: SimHash with pigeonring filtering, prefix filtering for the rest, exact checks).
 
-Two sets of similarity 0.8 or more share an element among the first n - ceil(0.8 n) + 1 of each, in any order of elements
-that holds for all sets. The order puts common shingles last, which keeps groups small; a poor order costs time, not
-links. A SimHash fingerprint cannot give this result: at similarity 0.8 about 15 % of its bits differ, with a spread that
-no fixed distance covers.
+SimHash fingerprints of the shingles that differ in a few bits (op7's filter) give the first pairs, which join near
+copies. That cannot be all: at similarity 0.8 about 15 % of a fingerprint's bits differ, with a spread that no fixed
+distance covers. So the pairs that it leaves apart are sought by prefix filtering: two sets of similarity 0.8 or more share
+an element among the first n - ceil(0.8 n) + 1 of each, in any order of elements that holds for all sets. The order puts
+common shingles last, which keeps groups small; a poor order costs time, not links. Every pair is checked exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import components, hold, mapped, texts, written
+from codeloom.llm import simhash_dedup
+from codeloom.llm.common import components, discard, hold, mapped, sifted, texts, written
 
 #: Fixed by the contract: words of a shingle, and the least similarity as a fraction.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -64,6 +66,12 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h >> np.uint64(55)).astype("i8"), minlength=512) & 1).astype("u1")).tobytes()
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """SimHash: 64 bits, each 1 if set in over half of the elements; zero for none."""
+    ones = np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i4")
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "u8").reshape(-1, 8)
 
@@ -108,14 +116,14 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with near_row (unique), near_set (hash of the whole set), near_n (its size), near_prefix and near_sketch, written."""
+    """docs with near_row (unique), near_set (hash of the whole set), near_n (its size), near_prefix, near_sketch and near_print (SimHash), written."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
     common, rank = common_shingles(docs)
     hold(docs.sparkSession)
     with_row = docs.withColumn("near_row", F.monotonically_increasing_id())
-    schema = StructType(list(with_row.schema.fields)).add("near_set", LongType()).add("near_n", LongType()).add("near_prefix", ArrayType(LongType())).add("near_sketch", BinaryType())
+    schema = StructType(list(with_row.schema.fields)).add("near_set", LongType()).add("near_n", LongType()).add("near_prefix", ArrayType(LongType())).add("near_sketch", BinaryType()).add("near_print", LongType())
     arrow, at = to_arrow_schema(schema), with_row.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +133,7 @@ def keyed(docs: DataFrame) -> DataFrame:
             own = [prefix(h, common, rank).view("i8") for h in sets]
             ends = np.cumsum([0, *map(len, own)]).astype("i4")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "i8"), *own])))
-            new = [pa.array(whole), pa.array(np.fromiter(map(len, sets), "i8", len(sets))), lists, pa.array([sketch(h) for h in sets], pa.binary())]
+            new = [pa.array(whole), pa.array(np.fromiter(map(len, sets), "i8", len(sets))), lists, pa.array([sketch(h) for h in sets], pa.binary()), pa.array(np.array([fingerprint(h) for h in sets], "u8").view("i8"))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, *new], arrow, strict=True)], names=arrow.names)
 
     return written(with_row.mapInArrow(run, schema), "keyed")
@@ -268,7 +276,7 @@ def paired(rows: DataFrame, each) -> DataFrame:
 def checked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose texts in bodies (id, text; ids may repeat) are similar."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = written(bodies.join(ids, "id", "left_semi").dropDuplicates(["id"]), "bodies")
+    own = written(sifted(bodies, "id", ids)[0].join(ids, "id", "left_semi").dropDuplicates(["id"]), "bodies")
     joined = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def rows(batch):
@@ -283,26 +291,44 @@ def checked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         kept = [(i, j) for i, j, x, y in zip(a, b, texts(batch, "x"), texts(batch, "y"), strict=True) if similar(of(i, x), of(j, y))]
         yield {"a": [i for i, _ in kept], "b": [j for _, j in kept]}
 
-    return written(mapped(joined.select("a", "b", "x", "y"), rows, "a long, b long"), "links")
+    found = written(mapped(joined.select("a", "b", "x", "y"), rows, "a long, b long"), "links")
+    discard(own)
+    return found
+
+
+def printed(sets: DataFrame) -> DataFrame:
+    """From distinct sets (id, n, sketch, fp): pairs (a, b) that connect sets of equal or near fingerprints, where sizes and sketches allow a link.
+
+    Sets of one fingerprint pair with the least of them, and the least ones along the fingerprints' links, which
+    pigeonring filtering finds (see simhash_dedup.links()).
+    """
+    # least by size, so that sizes mostly allow the pairs
+    first = written(sets.groupBy("fp").agg(F.min(F.struct("n", "id", "sketch")).alias("first")), "prints")
+    end = lambda c, to: first.select(F.col("fp").alias(c), F.col("first").alias(to))
+    near = simhash_dedup.links(first.select("fp")).join(end("a", "one"), "a").join(end("b", "two"), "b").select("one", "two")
+    same = sets.join(first, "fp").select(F.col("first").alias("one"), F.struct("n", "id", "sketch").alias("two")).where("one.id <> two.id")
+    pairs = near.unionByName(same).where(_sized("one.n", "two.n")).select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b"), (F.col("one.n") + F.col("two.n")).alias("n"), F.col("one.sketch").alias("x"), F.col("two.sketch").alias("y"))
+    return mapped(pairs, _possible_rows, "a long, b long")
+
+
+def _possible_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    a, b, n, x, y = batch.columns
+    near = possible(_sketches(x), _sketches(y), n.to_numpy())
+    yield {"a": a.to_numpy()[near], "b": b.to_numpy()[near]}
 
 
 def starred(found: DataFrame, sketches: DataFrame) -> DataFrame:
     """From shared() rows: pairs (a, b) of each set and the first sets of its prefix elements, where sizes and sketches allow a link."""
     pairs = found.where("id <> least").where(_sized("n", "m")).select(F.col("least").alias("a"), F.col("id").alias("b"), (F.col("n") + F.col("m")).alias("n")).distinct()
     joined = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-
-    def rows(batch):
-        a, b, n, x, y = batch.columns
-        near = possible(_sketches(x), _sketches(y), n.to_numpy())
-        yield {"a": a.to_numpy()[near], "b": b.to_numpy()[near]}
-
-    return mapped(joined.select("a", "b", "n", "x", "y"), rows, "a long, b long")
+    return mapped(joined.select("a", "b", "n", "x", "y"), _possible_rows, "a long, b long")
 
 
 def links(rows: DataFrame) -> DataFrame:
     """From keyed() rows: edges (a, b) of near_set that connect exactly what is linked by similarity.
 
-    First each set is checked with the first set of each of its prefix elements, which joins part of a large group. Then,
+    First sets of near fingerprints are checked, and each set with the first set of each of its prefix elements, which joins
+    part of a large group. Then,
     as long as many pairs are left, each group's components are checked along a spanning forest of near sketches, which
     joins groups of near copies in a few rounds. Last, all pairs that share an element and are not yet connected are checked.
     """
@@ -311,7 +337,9 @@ def links(rows: DataFrame) -> DataFrame:
     found = written(shared(sets), "shared")
     several = found.select("id").distinct()
     sketches = written(rows.select(F.col("near_set").alias("id"), F.col("near_sketch").alias("sketch")).dropDuplicates(["id"]).join(several, "id", "left_semi"), "sketches")
-    tried = written(starred(found, sketches), "stars")
+    prints = rows.select(F.col("near_set").alias("id"), F.col("near_n").alias("n"), F.col("near_sketch").alias("sketch"), F.col("near_print").alias("fp")).dropDuplicates(["id"])
+    stars = starred(found, sketches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = written(printed(prints).unionByName(stars).distinct(), "tried")
     linked = checked(tried, bodies)
 
     def apart() -> DataFrame:
@@ -330,7 +358,10 @@ def links(rows: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
     rest = written(paired(apart(), every).join(tried, ["a", "b"], "left_anti"), "crossed")
-    return linked.unionByName(checked(rest, bodies))
+    linked = linked.unionByName(checked(rest, bodies))
+    discard(found)
+    discard(sketches)
+    return linked
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -343,4 +374,6 @@ def representatives(docs: DataFrame) -> DataFrame:
     named = rows.select("near_row", F.col("doc_id").cast("long").alias("doc_id"), "near_set").join(of, "near_set", "left")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_row")
     best = named.groupBy(F.coalesce("component", "near_set").alias("group")).agg(F.min(order).alias("best")).select(F.col("best.near_row").alias("near_row"))
-    return rows.join(best, "near_row", "left_semi").select(docs.columns)
+    gone = written(named.select("near_row").join(best, "near_row", "left_anti"), "gone")
+    some, others = sifted(rows, "near_row", gone)
+    return others.unionByName(some.join(gone, "near_row", "left_anti")).select(docs.columns)

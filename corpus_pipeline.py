@@ -23,7 +23,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more; SimHash first, prefix filtering for the rest."""
     return near_dedup.representatives(docs)
 
 

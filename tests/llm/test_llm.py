@@ -8,9 +8,10 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
-from codeloom.llm import chat_formatting, embedding_dedup, lm_scoring, near_dedup, packing, quality_rules, simhash_dedup, token_counts, toxicity, url_filters
+from codeloom.llm import chat_formatting, common as shared_helpers, embedding_dedup, lm_scoring, near_dedup, packing, quality_rules, simhash_dedup, token_counts, toxicity, url_filters
 from codeloom.llm.bpe import Trie, vocabulary
 from codeloom.llm.bpe_codec import digests, encode
 
@@ -238,6 +239,34 @@ def test_near_duplicates(spark, monkeypatch, common):
     assert 0 < len(expected) < len(rows) - 30
 
 
+def test_near_duplicates_by_simhash(spark, monkeypatch):
+    """SimHash alone, without prefix filtering, connects all sets whose fingerprints are equal or within two bits; its pairs are checked exactly."""
+    rng = random.Random(5)
+    some = []
+    for _ in range(12):
+        w = words(rng, 400).split()
+        some += [" ".join(w), " ".join([*w, *words(rng, 1).split()]), " ".join([*words(rng, 2).split(), *w])]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    sets = [near_dedup.shingles(t) for t in some]
+    prints = [near_dedup.fingerprint(h) for h in sets]
+    close = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2
+    label = component(len(some), lambda i, j: close(i, j) and near_dedup.similar(sets[i], sets[j]))
+    assert len(set(label)) < len(some) - 10
+    monkeypatch.setattr(near_dedup, "shared", lambda s: spark.createDataFrame([], "h long, id long, n long, least long, m long"))
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    kept = {r.doc_id for r in near_dedup.representatives(docs).collect()}
+    assert kept == {min(i for i in range(len(some)) if label[i] == k) for k in set(label)}
+    scalar = [sum((2 * sum(int(x) >> b & 1 for x in h) > len(h)) << b for b in range(64)) for h in sets[:5]]
+    assert scalar == prints[:5] and near_dedup.fingerprint(near_dedup.shingles("")) == 0
+
+
+def test_sifted(spark):
+    rows, ids = spark.range(-500, 4500), spark.range(0, 4000, 7).withColumnRenamed("id", "other")
+    some, others = shared_helpers.sifted(rows, "id", ids)
+    assert some.count() + others.count() == 5000 and others.join(ids, F.col("id") == F.col("other")).isEmpty()
+    assert others.count() > 3500 and shared_helpers.sifted(rows, "id", ids.limit(0))[0].isEmpty()
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16))
