@@ -413,6 +413,31 @@ def test_lm(spark, docs, texts):
     assert lm_scoring.scored(docs.limit(0)).count() == 0
 
 
+def test_lm_learns_from_all(spark, monkeypatch):
+    """Weights and tables are learnt from every token of every training document, long ones and later ones too, as one model after another learns them here."""
+    monkeypatch.setattr(lm_scoring, "SPAN", 64)
+    rng = random.Random(6)
+    rows = [(i, words(rng, 4000 if i in (7, 8, 9) else 30)) for i in range(300)]
+    numbered = lm_scoring._numbered(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    known = lm_scoring._known(lm_scoring._asked(numbered.select("train", "text", "block", "size")))
+    model = lm_scoring.fitted(numbered, known)
+    trained = [t for i, t in rows if crc32(str(i).encode()) % 5 != 1]
+    n = sum(len(t.split()) + 1 for t in trained)
+    assert len(trained) > 200 and any(len(t) > 20_000 for t in trained)
+    assert model.seen.sum() - lm_scoring._prior_table(lm_scoring.STATES).sum() == lm_scoring.CODE * n
+    first = lm_scoring.Model(model.counts, model.node_logits, model.in_class, model.kinds, model.discount, model.total, lm_scoring.Mixer(model.speller.counts))
+    parts = list(lm_scoring._parts(lm_scoring._together(numbered.where("train"), known).toArrow().to_batches()))
+    assert len({number for number, _, _ in parts}) > 3
+    total, pupils = 0, {}
+    for number, block, part in parts:
+        for _ in block.scores(pupils.setdefault(number, first.pupil()), [(t, True) for t in part.column("text").to_pylist()], learn=True):
+            pass
+    total = sum(pupils[k].lesson(first) for k in sorted(pupils))
+    again = first.taught(total)
+    for a, b in ((model.weights, again.weights), (model.shares, again.shares), (model.speller.weights, again.speller.weights), (model.speller.seen, again.speller.seen)):
+        assert np.allclose(a, b, atol=1e-12) and not np.allclose(a, {id(model.weights): first.weights, id(model.shares): first.shares, id(model.speller.weights): first.speller.weights, id(model.speller.seen): first.speller.seen}[id(a)])
+
+
 def test_lm_blocks_and_copies(spark, monkeypatch):
     """However rows are dealt to blocks, counts are those of the corpus; texts that occur twice are set apart; two runs agree."""
     monkeypatch.setattr(lm_scoring, "SPAN", 16)
