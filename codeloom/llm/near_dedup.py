@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import simhash_dedup
-from codeloom.llm.common import components, discard, hold, mapped, sifted, texts, written
+from codeloom.llm.common import components, discard, hold, mapped, released, sifted, texts, written
 
 #: Fixed by the contract: words of a shingle, and the least similarity as a fraction.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -31,6 +31,13 @@ SMALL, PAIRS = 8, 1 << 18
 _PLAIN = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """written() as zstd; then the shuffles that led to it go, some as large as the texts."""
+    found = written(df, name, "zstd")
+    released(df.sparkSession)
+    return found
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
@@ -121,6 +128,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
     common, rank = common_shingles(docs)
+    released(docs.sparkSession)
     hold(docs.sparkSession)
     with_row = docs.withColumn("near_row", F.monotonically_increasing_id())
     schema = StructType(list(with_row.schema.fields)).add("near_set", LongType()).add("near_n", LongType()).add("near_prefix", ArrayType(LongType())).add("near_sketch", BinaryType()).add("near_print", LongType())
@@ -136,7 +144,7 @@ def keyed(docs: DataFrame) -> DataFrame:
             new = [pa.array(whole), pa.array(np.fromiter(map(len, sets), "i8", len(sets))), lists, pa.array([sketch(h) for h in sets], pa.binary()), pa.array(np.array([fingerprint(h) for h in sets], "u8").view("i8"))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, *new], arrow, strict=True)], names=arrow.names)
 
-    return written(with_row.mapInArrow(run, schema), "keyed")
+    return written(with_row.mapInArrow(run, schema), "keyed", "zstd")
 
 
 def shared(sets: DataFrame) -> DataFrame:
@@ -276,7 +284,7 @@ def paired(rows: DataFrame, each) -> DataFrame:
 def checked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose texts in bodies (id, text; ids may repeat) are similar."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = written(sifted(bodies, "id", ids)[0].join(ids, "id", "left_semi").dropDuplicates(["id"]), "bodies")
+    own = _kept(sifted(bodies, "id", ids)[0].join(ids, "id", "left_semi").dropDuplicates(["id"]), "bodies")
     joined = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def rows(batch):
@@ -291,7 +299,7 @@ def checked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         kept = [(i, j) for i, j, x, y in zip(a, b, texts(batch, "x"), texts(batch, "y"), strict=True) if similar(of(i, x), of(j, y))]
         yield {"a": [i for i, _ in kept], "b": [j for _, j in kept]}
 
-    found = written(mapped(joined.select("a", "b", "x", "y"), rows, "a long, b long"), "links")
+    found = _kept(mapped(joined.select("a", "b", "x", "y"), rows, "a long, b long"), "links")
     discard(own)
     return found
 
@@ -303,7 +311,7 @@ def printed(sets: DataFrame) -> DataFrame:
     pigeonring filtering finds (see simhash_dedup.links()).
     """
     # least by size, so that sizes mostly allow the pairs
-    first = written(sets.groupBy("fp").agg(F.min(F.struct("n", "id", "sketch")).alias("first")), "prints")
+    first = _kept(sets.groupBy("fp").agg(F.min(F.struct("n", "id", "sketch")).alias("first")), "prints")
     end = lambda c, to: first.select(F.col("fp").alias(c), F.col("first").alias(to))
     near = simhash_dedup.links(first.select("fp")).join(end("a", "one"), "a").join(end("b", "two"), "b").select("one", "two")
     same = sets.join(first, "fp").select(F.col("first").alias("one"), F.struct("n", "id", "sketch").alias("two")).where("one.id <> two.id")
@@ -334,12 +342,12 @@ def links(rows: DataFrame) -> DataFrame:
     """
     sets = rows.select(F.col("near_set").alias("id"), F.col("near_n").alias("n"), F.col("near_prefix").alias("prefix")).dropDuplicates(["id"])
     bodies = rows.select(F.col("near_set").alias("id"), "text")
-    found = written(shared(sets), "shared")
+    found = _kept(shared(sets), "shared")
     several = found.select("id").distinct()
-    sketches = written(rows.select(F.col("near_set").alias("id"), F.col("near_sketch").alias("sketch")).dropDuplicates(["id"]).join(several, "id", "left_semi"), "sketches")
+    sketches = _kept(rows.select(F.col("near_set").alias("id"), F.col("near_sketch").alias("sketch")).dropDuplicates(["id"]).join(several, "id", "left_semi"), "sketches")
     prints = rows.select(F.col("near_set").alias("id"), F.col("near_n").alias("n"), F.col("near_sketch").alias("sketch"), F.col("near_print").alias("fp")).dropDuplicates(["id"])
     stars = starred(found, sketches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = written(printed(prints).unionByName(stars).distinct(), "tried")
+    tried = _kept(printed(prints).unionByName(stars).distinct(), "tried")
     linked = checked(tried, bodies)
 
     def apart() -> DataFrame:
@@ -350,14 +358,14 @@ def links(rows: DataFrame) -> DataFrame:
         return named.join(groups, "h", "left_semi").join(sketches, "id")
 
     for _ in range(ROUNDS):
-        some = written(paired(apart(), forest).join(tried, ["a", "b"], "left_anti"), "forest")
+        some = _kept(paired(apart(), forest).join(tried, ["a", "b"], "left_anti"), "forest")
         if some.count() < FEW:
             break
         new = checked(some, bodies)
         tried, linked = tried.unionByName(some), linked.unionByName(new)
         if new.isEmpty():
             break
-    rest = written(paired(apart(), every).join(tried, ["a", "b"], "left_anti"), "crossed")
+    rest = _kept(paired(apart(), every).join(tried, ["a", "b"], "left_anti"), "crossed")
     linked = linked.unionByName(checked(rest, bodies))
     discard(found)
     discard(sketches)
@@ -374,6 +382,6 @@ def representatives(docs: DataFrame) -> DataFrame:
     named = rows.select("near_row", F.col("doc_id").cast("long").alias("doc_id"), "near_set").join(of, "near_set", "left")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_row")
     best = named.groupBy(F.coalesce("component", "near_set").alias("group")).agg(F.min(order).alias("best")).select(F.col("best.near_row").alias("near_row"))
-    gone = written(named.select("near_row").join(best, "near_row", "left_anti"), "gone")
+    gone = _kept(named.select("near_row").join(best, "near_row", "left_anti"), "gone")
     some, others = sifted(rows, "near_row", gone)
     return others.unionByName(some.join(gone, "near_row", "left_anti")).select(docs.columns)

@@ -104,7 +104,7 @@ def judged(docs: DataFrame) -> DataFrame:
     base rules; one without any other document to compare with has none either, and the base rules alone judge it. Where
     a text is below a guard's size, that distance does not count.
     """
-    rows = written(measures(docs), "quality")
+    rows = written(measures(docs), "quality", "zstd")
     out = rows.join(F.broadcast(references(rows)), "language")
     # of a document that passes the base rules its own counts are taken out of the reference
     mine = lambda c: F.when(F.col("base_failed"), F.lit(0).cast("long")).otherwise(F.col(c))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 from zlib import crc32
@@ -260,6 +261,26 @@ def test_near_duplicates_by_simhash(spark, monkeypatch):
     assert scalar == prints[:5] and near_dedup.fingerprint(near_dedup.shingles("")) == 0
 
 
+def test_near_duplicates_release_shuffles(spark, monkeypatch):
+    """After each large table of the stage the shuffles that led to it and to the ones before are gone, though memory is far from full."""
+    live = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before, seen, real = live(), [], near_dedup.released
+
+    def counted(session):
+        real(session)
+        until = time.time() + 5
+        while live() > before + 10 and time.time() < until:
+            time.sleep(0.1)
+        seen.append(live())
+
+    monkeypatch.setattr(near_dedup, "released", counted)
+    rng = random.Random(9)
+    some = [words(rng, 60) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(some + [t + " x" for t in some])), "doc_id long, text string")
+    assert near_dedup.representatives(docs).count() == 40
+    assert len(seen) > 8 and max(seen) <= before + 10
+
+
 def test_sifted(spark):
     rows, ids = spark.range(-500, 4500), spark.range(0, 4000, 7).withColumnRenamed("id", "other")
     some, others = shared_helpers.sifted(rows, "id", ids)
