@@ -480,6 +480,44 @@ def test_lm_blocks_and_copies(spark, monkeypatch):
     assert all(abs(again[i] - r.score) < 1e-9 for i, r in got.items())
 
 
+def test_lm_speller_looks_up_each_gram_once(monkeypatch):
+    """Learning and scoring words equals plain steps over all their grams, and looks up the contexts of each distinct gram once."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 101, n).tolist()) for n in rng.integers(1, 9, 400)]
+    counts = rng.integers(1, 40, (lm_scoring.BASES[-1], 2)).astype("f4")
+    grams, rows = lm_scoring.spelling(words)
+    bits, looked_up = lm_scoring.bits, []
+    plain = lm_scoring.Mixer(counts)
+
+    def inputs(part, b):
+        slot, bit = list(bits(part))[b]
+        c = np.maximum(counts[slot.reshape(lm_scoring.PREDICTORS, -1)] - (bit[:, None] == [0, 1]), 0)
+        n = c.sum(-1)
+        deep = (n > 0).sum(0)
+        top = n[np.maximum(deep - 1, 0), np.arange(len(part))]
+        return np.concatenate([np.log((c[..., 1] + lm_scoring.PRIOR) / (c[..., 0] + lm_scoring.PRIOR)), np.ones((1, len(part)))]), deep * lm_scoring.LEVELS + (top > 2) + (top > 12) + (top > 100), bit
+
+    for a in range(0, len(grams), 500):
+        for b in range(8):
+            x, gate, bit = inputs(grams[a : a + 500], b)
+            dot = np.clip((x * plain.weights[gate].T).sum(0), -12, 12)
+            np.add.at(plain.seen[0], (lm_scoring._bins(dot), bit), 1)
+            error, size = bit - 1 / (1 + np.exp(-dot)), np.bincount(gate, minlength=lm_scoring.GATES)
+            for g in np.unique(gate):
+                plain.weights[g] += lm_scoring.RATE * (error * x)[:, gate == g].sum(1) / size[g] * min(np.sqrt(size[g]), 10)
+    refined, expected = plain.seen[0, :, 1] / plain.seen[0].sum(1), np.zeros(len(words))
+    for b in range(8):
+        x, gate, bit = inputs(grams, b)
+        dot = np.clip((x * plain.weights[gate].T).sum(0), -12, 12)
+        p = (1 / (1 + np.exp(-dot)) + refined[lm_scoring._bins(dot)]) / 2
+        expected += np.bincount(rows, np.log10(np.where(bit == 1, p, 1 - p)), len(words))
+    monkeypatch.setattr(lm_scoring, "bits", lambda part: looked_up.append(len(part)) or bits(part))
+    speller = lm_scoring.Mixer(counts)
+    got = speller.log10(words, 1, learn=True)
+    assert np.allclose(got, expected, 1e-4) and np.allclose(speller.weights, plain.weights, 1e-4)
+    assert sum(looked_up) == len(np.unique(grams)) < len(grams)
+
+
 def test_lm_against_scalars():
     """A text's bits and words one by one, with dictionaries in place of sorts; the corpus's tables are the model's own."""
     rng = random.Random(6)
