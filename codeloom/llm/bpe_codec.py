@@ -21,7 +21,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     path = vocabulary(path)
 
     def rows(batch):
-        pairs = trie(path, decoded).encode_batch(texts(batch), decoded)
+        pairs = trie(path).encode_batch(texts(batch), decoded)
         yield {"doc_id": batch.column(0), "ids": [i for i, _ in pairs], "n_tokens": [len(i) // 4 for i, _ in pairs], "decoded": [d.decode() for _, d in pairs] if decoded else [None] * len(pairs)}
 
     return mapped(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), rows, "doc_id long, ids binary, n_tokens long, decoded string")
@@ -42,7 +42,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = vocabulary(path)
 
     def rows(batch):
-        pairs = trie(path, True).encode_batch(texts(batch), True)
+        pairs = trie(path).encode_batch(texts(batch), True)
         yield {"doc_id": batch.column(0), "n_tokens": [len(i) // 4 for i, _ in pairs], "ids_sha256": [sha256(i).hexdigest() for i, _ in pairs], "decoded_sha256": [sha256(d).hexdigest() for _, d in pairs]}
 
     return mapped(docs.selectExpr("cast(doc_id as long) doc_id", "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,6 +5,7 @@ import re
 import time
 import unicodedata
 from collections import Counter
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
@@ -55,6 +56,29 @@ def test_trie_equals_library():
     assert [i for i, _ in Trie(vocabulary(), by_model=True).encode_batch(cases)] == [i for i, _ in trie.encode_batch(cases)]
 
 
+def test_known_words_by_model():
+    """A word that every batch holds is spelled once, however many words come and go; the results stay."""
+    trie, spelled = Trie(vocabulary(), limit=20, by_model=True), []
+    model = trie.model
+    trie.model = SimpleNamespace(tokenize=lambda w: spelled.append(w) or model.tokenize(w))
+    for i in range(30):
+        batch = [f"common {chr(97 + i % 26)}{chr(97 + i // 26)}x{'yz' * k}," for k in range(4)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in trie.encode_batch(batch)] == [library(t)[0] for t in batch]
+    assert spelled.count("common") == 1 and len(trie.known) + len(trie.known.older) <= 40
+
+
+def test_known_words_by_walk():
+    """As above; the walk sees each batch's new words together, whatever their number, and texts are decoded from their ids."""
+    trie, walked = Trie(vocabulary(), limit=20), []
+    walk = trie.walk
+    trie.walk = lambda words: walked.append(sorted(words)) or walk(words)
+    for i in range(30):
+        batch = [f"common {chr(97 + i % 26)}{chr(97 + i // 26)}x{'yz' * k}, \x01{k}" for k in range(4)]
+        assert [(np.frombuffer(ids, "<u4").tolist(), shown.decode()) for ids, shown in trie.encode_batch(batch, True)] == [library(t) for t in batch]
+    assert sum(w.count("common") for w in walked) == 1 and len(walked) == 30
+    assert all(trie.shown[i] == t.encode() for i, t in trie.names.items())
+
+
 def test_codec(spark, docs, texts):
     for r in encode(docs).collect():
         if r.doc_id is not None:
