@@ -167,3 +167,25 @@ def test_cosine_to_blocks(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and len(got) == found.count()
     # the terms that two documents share make no rows: no join, whose output would grow with them
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cosine_pairs_shuffle_no_vectors(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    monkeypatch.setattr(search, "ASKED", 2)
+    monkeypatch.setattr(search, "LISTED", 5, raising=False)  # lists of terms are closed early
+    texts = [f"w{i % 4} shared{i // 9} w{i % 4} getUser{i % 7} only{i} word" for i in range(40)]
+    rows = [(i * 25, t) for i, t in enumerate(texts)] + [(100, "shared0 again, w1"), (None, "shared1 w2"), (None, "w2"), (7, None), (9, ""), (200, None)]
+    for k, name in enumerate(("repeated", "distinct")):  # ids; a text without terms is in both
+        at = f"{tmp_path}/{name}"
+        those = rows if not k else [*{i: (i, t) for i, t in reversed(rows)}.values()]
+        spark.createDataFrame(those, "doc_id long, text string").selectExpr("*", "'en' as lang", "'web' as source").repartition(3).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(100, 1, 0), (300, 0, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{at}/labels.parquet")
+        found = catalog.tfidf_cosine_pairs(spark, at)
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from read_parquet('{at}/documents.parquet/*.parquet')")
+        want = {(a, b): c for a, b, c in con.execute(catalog.ORACLES["tfidf_cosine_pairs"]).fetchall() if a is not None and b is not None}
+        got = {(r.id_a, r.id_b): r.cosine for r in found.collect()}
+        assert got.keys() == want.keys() and len(want) > 300 and all(abs(got[p] - want[p]) < 2e-6 for p in want) and len(got) == found.count()
+        # vectors, of which each block of asked ones meets all, stay where they are
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
